@@ -67,8 +67,8 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def tree_sum(df: DataFrame, column: str, dtype: str, fan_in: int = 64) -> np.ndarray:
-    """The elementwise sum of equally long binary-packed vectors, a row each.
+def tree_sum(df: DataFrame, column: str, dtype: str, fan_in: int = 64, combine=np.add) -> np.ndarray | None:
+    """The elementwise sum (or other ufunc) of equally long binary-packed vectors, a row each; None of no rows.
 
     At most `fan_in` vectors reach the driver; more are first added up on the
     executors, `fan_in` at a time and streaming, level by level.
@@ -84,7 +84,7 @@ def tree_sum(df: DataFrame, column: str, dtype: str, fan_in: int = 64) -> np.nda
             for batch in batches:
                 for x in batch.column(0):
                     one = np.frombuffer(x.as_buffer(), dtype)
-                    total = one.copy() if total is None else np.add(total, one, out=total)
+                    total = one.copy() if total is None else combine(total, one, out=total)
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], [column])
 
@@ -92,10 +92,45 @@ def tree_sum(df: DataFrame, column: str, dtype: str, fan_in: int = 64) -> np.nda
     total = None
     for row in level.toLocalIterator():
         one = np.frombuffer(row[0], dtype)
-        total = one.copy() if total is None else total + one
+        total = one.copy() if total is None else combine(total, one)
     return total
 
 
+class Filter:
+    """A set of 64-bit hashes as a bit map of limited size: says yes for all members, and seldom for others.
+
+    Sixteen bits a member, at most `LARGEST` (32 MB): beyond 16 million members
+    it lets more others through, which costs speed and nothing else.
+    """
+
+    LARGEST = 28
+
+    def __init__(self, bits: np.ndarray, log2: int):
+        self.bits, self.log2 = bits, log2
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> Filter:
+        log2 = min(cls.LARGEST, max(13, int(df.count()).bit_length() + 4))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << (log2 - 3), np.uint8)
+            for batch in batches:
+                at = cls.places(batch.column(0).to_numpy(), log2)
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+        bits = tree_sum(df.select(column).coalesce(256).mapInArrow(run, "bits binary"), "bits", "u1", combine=np.bitwise_or)
+        return cls(np.zeros(1 << (log2 - 3), np.uint8) if bits is None else bits, log2)
+
+    @staticmethod
+    def places(h: np.ndarray, log2: int) -> np.ndarray:
+        return (mix(h.view(U64)) >> U64(64 - log2)).astype(np.int64)
+
+    def may_have(self, h: np.ndarray) -> np.ndarray:
+        at = self.places(h, self.log2)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 # ---------------------------------------------------------------- text kernels
 
 
