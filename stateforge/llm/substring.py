@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 from stateforge.llm import kit
 
 RUN, LEAST_WORDS, LONG, CUT_OF_16 = 3, 16, 10, 3
-#: Documents with removals up to which their spans are broadcast rather than shuffled.
-BROADCAST_ROWS = 20_000
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b"\"')]}")] = True
 _STOPS = np.zeros(256, bool)
@@ -143,8 +141,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, text, n_sentences, n_removed, words_removed) of every row; `text` is what is left."""
     kind = docs.schema[id_col].dataType.simpleString()
     marks = kit.written(repeats(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("at", "h")).alias("_marks")), "repeats")
-    marks = kit.bounded_broadcast(marks, BROADCAST_ROWS)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
