@@ -51,6 +51,12 @@ class Merges:
             if len(token) > 1:
                 ends.setdefault(token[-2:], set()).add(len(token))
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        #: the token that is another and one byte more, by id << 8 | byte; and every token's length
+        self.longer = {ranks[t[:-1]] << 8 | t[-1]: r for t, r in ranks.items() if t[:-1] in ranks}
+        self.size = {r: len(t) for t, r in ranks.items()}
+        self.byte = [ranks.get(bytes([b])) for b in range(256)]
+        if None in self.byte:
+            raise ValueError("a byte-level vocabulary has a token for each of the 256 bytes")
 
     def merge(self, piece: bytes) -> list[int]:
         """The merge rules applied as they are defined: the lowest rank first, leftmost first.  For short strings."""
@@ -89,27 +95,43 @@ class PrefixTable:
         self._extend(at, len(self.data))
 
     def _extend(self, start: int, stop: int) -> None:
-        """Entries for the prefixes of start+1 ... stop bytes, the shorter ones' being known."""
-        merges, last, data = self.merges, self.last, bytes(self.data[max(0, start - self.merges.longest) : stop])
-        ranks, lengths, known, stay, skipped = merges.ranks.get, merges.lengths, merges.known, merges.stay, stop - len(data)
-        for end in range(start + 1, stop + 1):
-            here = end - skipped
-            for size in lengths.get(data[here - 2 : here], ()) if end > 1 else ():
-                if size > end:
-                    continue
-                token = ranks(data[here - size : here])
-                if token is None:
-                    continue
-                left = last[end - size - 1] if size < end else -1
-                ok = known.get(left << 32 | token)
-                if stay(left, token) if ok is None else ok:
-                    break
-            else:
-                token = ranks(data[here - 1 : here])
-                if token is None:
-                    raise ValueError(f"byte {data[here - 1]} has no token; a byte-level vocabulary has all 256")
+        """Entries for the prefixes of start+1 ... stop bytes, the shorter ones' being known.
+
+        Only one token is valid, so the likeliest are tried first: the last
+        entry's and one byte more, then the byte alone, then all that end here.
+        """
+        merges, last, data = self.merges, self.last, self.data
+        longer, size, byte, known, stay = merges.longer.get, merges.size, merges.byte, merges.known.get, merges.stay
+        token = last[start - 1] if start else -1
+        for end in range(start, stop):
+            before = token
+            b = data[end]
+            if before >= 0:
+                token = longer(before << 8 | b)
+                if token is not None:
+                    at = end - size[token]
+                    left = last[at] if at >= 0 else -1
+                    ok = known(left << 32 | token)
+                    if stay(left, token) if ok is None else ok:
+                        last.append(token)
+                        continue
+            token = byte[b]
+            ok = known(before << 32 | token)
+            if not (stay(before, token) if ok is None else ok):
+                token = self._search(end + 1)
             last.append(token)
 
+    def _search(self, end: int) -> int:
+        """The one token of two bytes or more that ends there and stays beside the last token before it."""
+        merges, data = self.merges, bytes(self.data[max(0, end - self.merges.longest) : end])
+        for size in merges.lengths.get(data[-2:], ()):
+            if size <= end and (token := merges.ranks.get(data[-size:])) is not None and size <= len(data):
+                left = self.last[end - size - 1] if size < end else -1
+                ok = merges.known.get(left << 32 | token)
+                if merges.stay(left, token) if ok is None else ok:
+                    return token
+        raise ValueError(f"no token of the vocabulary can end at byte {end}")
+
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Replaces bytes [start, stop); re-encodes from there until the entries agree again.  Returns how many entries were computed."""
         old, moved = self.last, len(data) - (stop - start)
@@ -143,6 +165,7 @@ class TextCodec:
         self.merges = Merges(ranks)
         self.find = regex.compile(pattern).findall
         self._known: dict[str, tuple[int, str, bytes]] = {}
+        self._old: dict[str, tuple[int, str, bytes]] = {}
 
     def piece(self, piece: bytes) -> list[int]:
         """The ids of one match: its own token if it is one, else from the table."""
@@ -155,23 +178,31 @@ class TextCodec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.merges.tokens.__getitem__, ids))
 
+    def _remember(self, x: str) -> tuple[int, str, bytes]:
+        """A match's (number of ids, ids as text, bytes decoded from them), kept as long as it is used again in time."""
+        found = self._old.pop(x, None)
+        if found is None:
+            ids = self.piece(x.encode())
+            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        if len(x) <= 64:
+            if len(self._known) >= REMEMBERED:
+                self._known, self._old = {}, self._known
+            self._known[x] = found
+        return found
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, sha256 of the decimal ids joined by a blank, sha256 of the bytes decoded from them)."""
-        known, count = self._known, 0
+        count, first = 0, True
         ids_hash, bytes_hash = hashlib.sha256(), hashlib.sha256()
-        first = True
         matches = self.find(text or "")
         for a in range(0, len(matches), 4096):
             names, decoded = [], []
+            known = self._known.get
             for x in matches[a : a + 4096]:
-                found = known.get(x)
+                found = known(x)
                 if found is None:
-                    ids = self.piece(x.encode())
-                    found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-                    if len(x) <= 64:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[x] = found
+                    found = self._remember(x)
+                    known = self._known.get
                 count += found[0]
                 names.append(found[1])
                 decoded.append(found[2])
