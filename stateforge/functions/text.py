@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What Python's str.strip and \s take for white space, and LaTeX spacing commands.
 SPACE = r"[\s\x1c-\x1f]"
@@ -29,7 +30,7 @@ def non_empty(*cs: Column) -> Column:
     return F.coalesce(*(F.nullif(strip(c.cast("string")), F.lit("")) for c in cs))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -51,7 +52,7 @@ def normalize_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space separated words (Python's str.split())."""
-    return F.filter(F.split(c, rf"(?U){SPACE}+"), lambda t: t != "")
+    return F.array_remove(F.split(c, rf"(?U){SPACE}+"), "")
 
 
 def token_count(c: Column) -> Column:
@@ -60,7 +61,9 @@ def token_count(c: Column) -> Column:
 
 def shingles(words: Column, size: int = 5) -> Column:
     """The distinct runs of `size` words, each joined by a blank; of fewer words, one run of all; of none, none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.array_join(F.slice(words, i, size), " "))
+    n = F.greatest(F.size(words) - (size - 1), F.lit(0))
+    places = F.arrays_zip(*(F.slice(words, F.lit(k + 1), n).alias(f"w{k}") for k in range(size)))  # side by side, so that `words` is made a few times and not once a run
+    runs = F.transform(places, lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(size))))
     return F.when(F.size(words) >= size, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
@@ -70,7 +73,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _json_string(s: pd.Series) -> pd.Series:
     return s.map(lambda x: json.dumps(x, ensure_ascii=False), na_action="ignore")
 
