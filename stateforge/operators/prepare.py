@@ -68,15 +68,28 @@ def permuted(df: DataFrame, order: list[str], seed: int) -> DataFrame:
     return ranked(df, [F.xxhash64(F.lit(seed), *order), *map(F.col, order)], "position")
 
 
-def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
-    """`df` with a gapless global rank, without one task for all rows.
+def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0, sample: int = 4096) -> DataFrame:
+    """`df` with a gapless global rank by ascending columns, without one task for all rows.
 
-    Rows are range-partitioned by the order and numbered in their partition; the
-    partitions' sizes, a small table, give the offsets.
+    Rows fall into ranges between bounds from a bounded sample of keys (the
+    smallest hashes), are numbered inside their range, and the ranges' sizes, a
+    small table, give the offsets.  The bounds are literals, so a range depends
+    on the row alone, however often or where the plan is run.
     """
-    spread = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    numbered = spread.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = numbered.groupBy(F.col("_p").alias("_q")).agg(F.count("_r").alias("_n"))
+    spark = df.sparkSession
+    keyed = df.select(*(c.alias(f"k{i}") for i, c in enumerate(order)))
+    names = keyed.columns
+    rows = keyed.orderBy(F.xxhash64(*names)).limit(sample).orderBy(*names).collect()
+    n = min(200, int(spark.conf.get("spark.sql.shuffle.partitions")), len(rows))
+    bounds = [rows[len(rows) * k // n] for k in range(1, n)]
+    key = F.struct(*(c.alias(k) for c, k in zip(order, names, strict=True)))
+    range_of = F.lit(0)
+    if bounds:
+        literals = F.array(*(F.struct(*(F.lit(b[k]).cast(keyed.schema[k].dataType).alias(k) for k in names)) for b in bounds))
+        range_of = F.size(F.filter(literals, lambda b: b <= key))
+    placed = df.withColumn("_p", range_of)
+    numbered = placed.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    sizes = placed.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return numbered.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn(name, (F.col("_before") + F.col("_r") - 1 + first).cast("long")).drop("_p", "_q", "_r", "_before")
 
