@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,48 +52,65 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: a cut of the lineage that survives lost executors."""
+def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back: a cut of the lineage that survives lost executors.
+
+    `compact` gathers what comes from a shuffle into two files a core at most;
+    not for what comes straight from a scan, whose tasks are heavy.
+    """
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` kept on the executors (memory, then disk) for a few uses, to be unpersisted after them; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, else as it is (a shuffle join, split on skew by AQE)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def pack(vector: np.ndarray) -> bytes:
+    """A vector as bytes, plane by plane: the high bytes of small numbers become one run of zeros, which any codec shortens."""
+    return vector.view(np.uint8).reshape(len(vector), -1).T.tobytes()
+
+
+def unpack(data, dtype: str) -> np.ndarray:
+    kind = np.dtype(dtype)
+    return np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T.copy().reshape(-1).view(kind)
+
+
 def tree_sum(df: DataFrame, column: str, dtype: str, fan_in: int = 64, combine=np.add) -> np.ndarray | None:
-    """The elementwise sum (or other ufunc) of equally long binary-packed vectors, a row each; None of no rows.
+    """The elementwise sum (or other ufunc) of equally long vectors as `pack` writes them, a row each; None of no rows.
 
-    At most `fan_in` vectors reach the driver; more are first added up on the
-    executors, `fan_in` at a time and streaming, level by level.
+    One job: the vectors are added up on the executors, about `fan_in` at a time
+    and streaming, level by level, until one is left; that one reaches the driver.
     """
-    spark = df.sparkSession
-    level = written(df.select(column), "vectors")
-    n = level.count()
-    while n > fan_in:
-        n = -(-n // fan_in)
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                for x in batch.column(0):
-                    one = np.frombuffer(x.as_buffer(), dtype)
-                    total = one.copy() if total is None else combine(total, one, out=total)
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], [column])
-
-        level = written(level.repartition(n).mapInArrow(add, f"`{column}` binary"), "vectors")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                one = unpack(x.as_buffer(), dtype)
+                total = one if total is None else combine(total, one, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(total)], pa.binary())], [column])
+
+    level, n = df.select(column), df.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // fan_in)
+        level = level.repartition(n).mapInArrow(add, f"`{column}` binary")
+    rows = level.collect()
     total = None
-    for row in level.toLocalIterator():
-        one = np.frombuffer(row[0], dtype)
-        total = one.copy() if total is None else combine(total, one)
+    for row in rows:
+        one = unpack(row[0], dtype)
+        total = one if total is None else combine(total, one)
     return total
 
 
@@ -117,7 +135,7 @@ class Filter:
             for batch in batches:
                 at = cls.places(batch.column(0).to_numpy(), log2)
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(bits)], pa.binary())], ["bits"])
 
         bits = tree_sum(df.select(column).coalesce(256).mapInArrow(run, "bits binary"), "bits", "u1", combine=np.bitwise_or)
         return cls(np.zeros(1 << (log2 - 3), np.uint8) if bits is None else bits, log2)

@@ -180,7 +180,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
             h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    words = kit.written(docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    words = kit.kept(docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     named = words.orderBy(F.desc("n"), "h").limit(NAMED).collect()
     top = Vocabulary(np.array([r[0] for r in named], np.int64).view(np.uint64))
 
@@ -188,9 +188,10 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
         total = np.zeros(TOKENS, np.int64)
         for batch in batches:
             np.add.at(total, top.tokens(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([kit.pack(total)], pa.binary())], ["counts"])
 
     counts = kit.tree_sum(words.mapInArrow(by_token, "counts binary"), "counts", "i8")
+    words.unpersist()
     return top, np.zeros(TOKENS, np.int64) if counts is None else counts
 
 
@@ -215,7 +216,7 @@ def train(docs: DataFrame, top: Vocabulary, counts: np.ndarray, *, text_col: str
                         yield laid_out(vocabulary.tokens(h), bounds)[0]
 
             flat, words = learned(flat, rows())
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(flat.astype(np.float64) * words, words).tobytes()], pa.binary())], ["net"])
+            yield pa.RecordBatch.from_arrays([pa.array([kit.pack(np.append(flat.astype(np.float64) * words, words))], pa.binary())], ["net"])
 
         total = kit.tree_sum(docs.select(text_col).mapInArrow(run, "net binary"), "net", "f8")
         if total is not None and total[-1] > 0:

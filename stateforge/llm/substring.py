@@ -109,8 +109,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Hashes are counted alone first; a filter of fixed size then lets (nearly)
     only those that occur twice through to the shuffle that finds first places.
     """
-    counted = kit.written(all_spans(docs, id_col, text_col).groupBy("h").count().where(F.col("count") > 1).select("h"), "repeated")
-    again = kit.written(all_spans(docs, id_col, text_col, kit.Filter.of(counted, "h")), "places")
+    counted = kit.kept(all_spans(docs, id_col, text_col).groupBy("h").count().where(F.col("count") > 1).select("h"))
+    again = all_spans(docs, id_col, text_col, kit.Filter.of(counted, "h")).repartition("h")
+    counted.unpersist()
     first = again.groupBy("h").agg(F.min(F.struct("id", "at")).alias("_first"), F.count("at").alias("_n"))
     first = first.where(F.col("_n") > 1).select(F.col("h").alias("_h"), "_first")
     return again.join(first, F.col("h") == F.col("_h")).where(~F.struct("id", "at").eqNullSafe(F.col("_first"))).select("id", "at", "h")
@@ -140,7 +141,7 @@ def cut(text: str | None, marked: set[tuple[int, int]]) -> tuple[str | None, int
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_sentences, n_removed, words_removed) of every row; `text` is what is left."""
     kind = docs.schema[id_col].dataType.simpleString()
-    marks = kit.written(repeats(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("at", "h")).alias("_marks")), "repeats")
+    marks = repeats(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("at", "h")).alias("_marks"))
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

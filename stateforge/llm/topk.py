@@ -83,7 +83,7 @@ NONE = -(1 << 62)
 def top_k(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, id, score): the k best candidates of every row for which the column `is_query` (of the id) is true."""
     spark = vectors.sparkSession
-    rows = kit.written(packed(vectors, id_col, vector_col, scale), "vectors")
+    rows = kit.written(packed(vectors, id_col, vector_col, scale), "vectors", compact=False)
     queries = kit.written(rows.where(is_query(F.col("id"))).select(F.col("id").alias("qid"), "vec", "norm").withColumn("q", F.monotonically_increasing_id()), "queries")
     n, largest, width = rows.agg(F.count("id"), F.max("norm"), F.max(F.length("vec") / 8)).head()
     nq, q_largest = queries.agg(F.count("q"), F.max("norm")).head()
