@@ -6,21 +6,25 @@ documents link when 100 * intersection >= percent * union.  The join finds the
 classes of linked documents exactly:
 
 1. Documents with equal sets are one node.
-2. Groups: nodes that share a minimum hash form a star round the least of them;
-   stars whose links hold are merged, and the resulting classes, cut to at most
-   `GROUP` members, are the groups of similar documents.
-3. A node q that could link into a group must share a token of q's prefix (its
-   rarest n - ceil(percent * n) + 1 tokens) with a member's prefix.  Rarity comes
-   from a table of counters of fixed size; any common order is exact.  Only
-   pairs of different classes are followed.
+2. Two nodes that link share `SHARED` tokens of their prefixes (or all that must
+   be common, if fewer): a node's rarest n - ceil(percent * n) + SHARED tokens.
+   Rarity comes from a table of counters of fixed size; any common order is
+   exact.  Only tokens that two prefixes share are kept.
+3. Groups: a node's family is the least of its shared prefix tokens, so near
+   copies of one text mostly come together; a family is cut into groups of about
+   `GROUP` members.
 4. The matrix has a row of bits a group: the union of its members' tokens,
-   hashed to columns.  Tokens of q that meet no bit bound the overlap from
-   above; a group is opened only if the bound reaches percent of q.
-5. In an opened group q is compared with members, exactly, until one links; the
-   members being one class already, more links change no class.
-
-Links of both kinds give the classes by connected components.  Nothing but
-counters and filters of fixed size reaches the driver; hot groups are salted.
+   hashed to columns.  A query is a node and each group whose members' prefixes
+   have that many of its prefix tokens.  Tokens of the query that meet no bit bound the overlap from
+   above; another group is opened only if the bound reaches percent of the query.
+   In an opened group the same bound, both ways, leaves out members one by one.
+5. A query's overlaps with the members left are counted at once, exactly, by the
+   members' token lists; of the links that hold, those that join parts not joined
+   yet are given.
+
+Connected components of the links are the classes.  A family of m near copies
+costs about m * m / GROUP queries and at most m + GROUP links a group, not m * m
+rows.  Nothing but counters and filters of fixed size reaches the driver.
 
 Defined results: null and empty texts (and such without words) have an empty set, link with
 nothing and are their own class; rows of equal text are one class; a class id
@@ -38,11 +42,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stateforge.llm import graph, kit
 
-#: Minimum hashes a node, members of a group, queries of a group that one task meets together, counters (a power of 2), rows broadcast.
-BANDS, GROUP, TOGETHER, COUNTERS, BROADCAST_ROWS = 3, 256, 512, 20, 500_000
+#: Members of a group, queries that meet a copy of it together, counters (a power of 2), rows broadcast.
+GROUP, TOGETHER, COUNTERS, BROADCAST_ROWS = 256, 512, 21, 500_000
+#: Rows that a worker unpacks at a time; prefix tokens that two linked nodes must share.
+SLICE, SHARED = 1000, 4
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -68,9 +75,9 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def prefix(tokens: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest tokens, of which any linked set must have one in its own prefix."""
+    """The rarest tokens: of those any linked set has min(SHARED, overlap) at least in its own prefix."""
     n = len(tokens)
-    size = n - -(-percent * n // 100) + 1 if n else 0
+    size = n - -(-percent * n // 100) + SHARED if n else 0
     if size >= n:
         return tokens
     rarity = counters[(tokens >> np.uint64(64 - COUNTERS)).astype(np.int64)]
@@ -85,22 +92,52 @@ def bits_of(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(out)
 
 
-def missing(query: np.ndarray, group: np.ndarray) -> int:
-    """How many of the query's bits the group has not, at the coarser width of the two: as many tokens at least are in no member."""
-    q, g = np.unpackbits(query), np.unpackbits(group)
-    width = min(len(q), len(g))
-    q, g = q.reshape(width, -1).any(axis=1), g.reshape(width, -1).any(axis=1)
-    return int((q & ~g).sum())
+def folded(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Bit maps at a common width, stacked: neighbouring columns of a wider one become one."""
+    return np.stack([np.unpackbits(r).reshape(width, -1).max(axis=1) for r in rows])
+
+
+def missing(some: np.ndarray, other: np.ndarray) -> int:
+    """How many bits of one map the other has not, at the coarser width of the two."""
+    width = min(len(some), len(other)) * 8
+    x = folded([some, other], width)
+    return int((x[0] > x[1]).sum())
+
 
+class Group:
+    """The members' token lists of an opened group, and which members and queries are joined so far."""
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, of two sorted sets."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+    def __init__(self, names: list[int], sets: list[np.ndarray], percent: int):
+        self.names, self.percent, self.sizes = names, percent, np.array(list(map(len, sets)))
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.tokens, first = np.unique(flat[order], return_index=True)
+        self.owner, self.bounds = owner[order], np.append(first, len(flat))
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def linked(self, query: np.ndarray) -> np.ndarray:
+        """The members whose sets have 100 * intersection >= percent * union with the query's."""
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        lengths = self.bounds[at + 1] - self.bounds[at]
+        hits = np.repeat(self.bounds[at] - np.append(0, np.cumsum(lengths))[:-1], lengths) + np.arange(lengths.sum())
+        common = np.bincount(self.owner[hits], minlength=len(self.sizes))
+        return np.flatnonzero((common > 0) & (100 * common >= self.percent * (len(query) + self.sizes - common)))
+
+    def joined(self, name: int, query: np.ndarray) -> list[tuple[int, int]]:
+        """The query's links that join parts which weren't joined before."""
+        out = []
+        for k in self.linked(query).tolist():
+            a, b = self.root(name), self.root(self.names[k])
+            if a != b:
+                self.parent[a] = b
+                out.append((name, self.names[k]))
+        return out
 
 
 def _scan(docs: DataFrame, words: int, emit, schema: str) -> DataFrame:
@@ -109,85 +146,133 @@ def _scan(docs: DataFrame, words: int, emit, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
                 yield pa.RecordBatch.from_arrays(emit(part.column(0), list(shingle_sets(part.column(1), words))), names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _opened(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of queries (g, v, tokens) with the first member (g, v, tokens) of their group that links.
+def _visits(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """(g, place, v, member, asks): which nodes meet where.
 
-    A group's queries are dealt to as many places as they need, its members go to each.
+    The queries (g, v) of a group are dealt to as many places as they need, and
+    its members (g, v) go to each.  Only ids are moved for this.
     """
     places = queries.groupBy("g").agg(F.ceil(F.count("v") / TOGETHER).cast("int").alias("places"))
-    left = members.join(places, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("kind"), "v", "tokens")
-    right = queries.join(places, "g").select("g", F.pmod(F.xxhash64("v"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("kind"), "v", "tokens")
+    left = members.join(places, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), "v", F.lit(True).alias("member"), F.lit(False).alias("asks"))
+    right = queries.join(places, "g").select("g", F.pmod(F.xxhash64("v"), F.col("places")).cast("int").alias("place"), "v", F.lit(False).alias("member"), F.lit(True).alias("asks"))
+    return left.unionByName(right).groupBy("g", "place", "v").agg(F.bool_or("member").alias("member"), F.bool_or("asks").alias("asks"))
+
+
+def _meeting(rows: DataFrame, payload: str, settle, schema: str) -> DataFrame:
+    """settle(rows of (v, member, asks, n, payload as array)) -> rows, for every place (g, place) of `rows`; a place is small, and places stream."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kind = np.uint8 if payload == "bits" else np.uint64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, []
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*settle(here, held), strict=True)) or [()] * len(names)
+            types = [pa.bool_() if f.endswith("boolean") else pa.int32() if f.endswith(" int") else pa.int64() for f in schema.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
         for batch in batches:
-            a, b = [], []
-            for g, place, kind, v, tokens in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+            for g, place, v, member, asks, n, x in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6), strict=True):
                 if (g, place) != here:
+                    if held:
+                        yield out()
                     here, held = (g, place), []
-                own = np.frombuffer(tokens.as_buffer(), np.uint64)
-                if not kind:
-                    held.append((v, own.copy()))
-                    continue
-                for w, other in held:
-                    if w != v and linked(own, other, percent):
-                        a.append(v)
-                        b.append(w)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                held.append((v, member, asks, n, np.frombuffer(x.as_buffer(), kind).copy()))
+        if held:
+            yield out()
+
+    met = rows.select("g", "place", "v", "member", "asks", "n", payload).repartition("g", "place").sortWithinPartitions("g", "place", "v")
+    return met.mapInArrow(run, schema)
+
+
+def _screened(rows: DataFrame, percent: int) -> DataFrame:
+    """The visits (g, place, v, member, asks, n, bits) that the pairwise bound leaves: members with a query that may link, and such queries."""
 
-    return left.unionByName(right).repartition("g", "place").sortWithinPartitions("g", "place", "kind").mapInArrow(run, "a long, b long")
+    def settle(here: tuple, held: list[tuple]) -> list[tuple]:
+        members = [k for k, r in enumerate(held) if r[1]]
+        width = min(len(r[4]) for r in held) * 8
+        have = folded([r[4] for r in held], width).astype(bool)
+        n = np.array([r[3] for r in held])
+        wanted, asking = np.zeros(len(held), bool), np.zeros(len(held), bool)
+        theirs, sizes = have[members], n[members]
+        for k, r in enumerate(held):
+            if not r[2]:
+                continue
+            most = np.minimum(n[k] - (have[k] & ~theirs).sum(axis=1), sizes - (theirs & ~have[k]).sum(axis=1))
+            ok = (most > 0) & (100 * most >= percent * (n[k] + sizes - most))
+            ok &= np.array(members) != k
+            wanted[np.array(members)[ok]] = True
+            asking[k] = ok.any()
+        return [(*here, r[0], bool(wanted[k]), bool(asking[k])) for k, r in enumerate(held) if wanted[k] or asking[k]]
+
+    return _meeting(rows, "bits", settle, "g long, place int, v long, member boolean, asks boolean")
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links of the queries among visits (g, place, v, member, asks, n, tokens) with members of their place, as many as join different parts."""
+
+    def settle(here: tuple, held: list[tuple]) -> list[tuple]:
+        own = [r for r in held if r[1]]
+        if not own:
+            return []
+        group = Group([r[0] for r in own], [r[4] for r in own], percent)
+        return [link for v, _, asks, _, tokens in held if asks for link in group.joined(v, tokens)]
+
+    return _meeting(rows, "tokens", settle, "a long, b long")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """The (v, g) of pairs (v, g, n, bits, union) whose overlap bound is high enough to open the group."""
+    """The (v, g) of pairs (v, g, n, bits, union) whose overlap bound allows a link of node v to a member of group g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [missing(np.frombuffer(q.as_buffer(), np.uint8), np.frombuffer(u.as_buffer(), np.uint8)) <= n - -(-percent * n // 100) for n, q, u in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("v", "g", "n", "bits", "union").mapInArrow(run, "v long, g long")
+    return pairs.mapInArrow(run, "v long, g long")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, with_node: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id[, node]) of every row; `node` names its set."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     # rarity of tokens: one table of counters a partition, added up
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTERS, np.uint32)
+        counters, sets, n = np.zeros(1 << COUNTERS, np.uint32), [], 0
+
+        def add() -> None:
+            if n:
+                counters[:] += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.uint32)
+
         for batch in batches:
-            held, n = [], 0
-            for tokens in shingle_sets(batch.column(0), words):
-                held.append(tokens)
-                n += len(tokens)
-                if n > 1 << 18:
-                    counters += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.uint32)
-                    held, n = [], 0
-            if held:
-                counters += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([counters.astype(np.uint64).tobytes()], pa.binary())], ["counters"])
-
-    counters = kit.tree_sum(texts.select("text").mapInArrow(count, "counters binary"), "counters", "u8")
-    counted = spark.sparkContext.broadcast(np.zeros(1 << COUNTERS, np.uint32) if counters is None else np.minimum(counters, 0xFFFFFFFF).astype(np.uint32))
+            for a in range(0, batch.num_rows, SLICE):
+                for tokens in shingle_sets(batch.column(0).slice(a, SLICE), words):
+                    sets.append(tokens)
+                    n += len(tokens)
+                if n > 1 << 21:
+                    add()
+                    sets, n = [], 0
+        add()
+        yield pa.RecordBatch.from_arrays([pa.array([kit.pack(counters)], pa.binary())], ["counters"])
+
+    counters = kit.tree_sum(texts.select("text").mapInArrow(count, "counters binary"), "counters", "u4")
+    counted = spark.sparkContext.broadcast(np.zeros(1 << COUNTERS, np.uint16) if counters is None else np.minimum(counters, 0xFFFF).astype(np.uint16))
 
     # nodes: distinct sets
     def summary(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        least = [[int(kit.salted(s, 100 + b).view(np.int64).min()) for b in range(BANDS)] if len(s) else None for s in sets]
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())]
 
-    rows = kit.written(_scan(texts, words, summary, f"id {kind}, n long, v long, least array<long>"), "documents")
-    nodes = kit.written(rows.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("least").alias("least")), "nodes")
+    rows = kit.written(_scan(texts, words, summary, f"id {kind}, n long, v long").repartition("v"), "documents")
+    nodes = kit.written(rows.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n")), "nodes")
 
     # tokens in the prefixes of two nodes or more, and who has them
     def heads(only: kit.Filter | None):
@@ -206,54 +291,91 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
 
         return _scan(texts, words, emit, "token long, v long")
 
-    shared = kit.written(heads(None).groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("token"), "shared")
-    postings = kit.written(heads(kit.Filter.of(shared, "token")).distinct().join(shared, "token", "left_semi"), "postings")
+    shared = kit.kept(heads(None).groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("token"))
+    held = [shared]
+    postings = kit.kept(heads(kit.Filter.of(shared, "token")).distinct().join(shared, "token", "left_semi"))
 
-    # stars of nodes with a common minimum hash
-    keyed = nodes.select("v", F.posexplode("least").alias("band", "hash"))
-    leaders = keyed.groupBy("band", "hash").agg(F.min("v").alias("g"), F.count("v").alias("_n")).where("_n > 1").drop("_n")
-    stars = kit.written(keyed.join(leaders, ["band", "hash"]).where("v <> g").select("v", "g").distinct(), "stars")
+    held.append(postings)
 
-    # the sets of all nodes that may link
-    needed = kit.written(postings.select("v").unionByName(stars.select("v")).unionByName(stars.select(F.col("g").alias("v"))).distinct().join(nodes.select("v", "id"), "v"), "needed")
-    sent_needed = spark.sparkContext.broadcast(kit.Filter.of(needed, "v"))
+    # groups of nodes that share a token of their prefixes
+    family = postings.groupBy("v").agg(F.min("token").alias("f"))
+    parts = family.groupBy("f").agg(F.ceil(F.count("v") / GROUP).alias("parts"))
+    member = kit.written(family.join(parts, "f").select("v", F.xxhash64("f", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("g")), "member")
 
-    def sets_of(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        v = np.array([node_of(s) for s in sets], np.int64)
-        hit = np.flatnonzero(sent_needed.value.may_have(v)) if len(v) else np.zeros(0, np.int64)
-        return [ids.take(pa.array(hit)), pa.array(v[hit]), pa.array([len(sets[k]) for k in hit], pa.int64()), pa.array([sets[k].tobytes() for k in hit], pa.binary()), pa.array([bits_of(sets[k]).tobytes() for k in hit], pa.binary())]
+    repeated = rows.groupBy("id", "v").count().where("count > 1").limit(1).count() > 0
 
-    found = _scan(texts, words, sets_of, f"id {kind}, v long, n long, tokens binary, bits binary")
-    mine = kit.bounded_broadcast(needed.select(F.col("v").alias("_v"), F.col("id").alias("_id")), BROADCAST_ROWS)
-    sets = kit.written(found.join(mine, (F.col("v") == F.col("_v")) & F.col("id").eqNullSafe(F.col("_id"))).select("v", "n", "tokens", "bits").dropDuplicates(["v"]), "sets")
+    def sets_of(wanted: DataFrame, with_bits: bool) -> DataFrame:
+        """(v, n, tokens or bits) of the nodes `wanted` (v): each read from the text of one document."""
+        wanted = kit.kept(wanted.distinct().join(nodes.select("v", "id"), "v"))
+        held.append(wanted)
+        sent = spark.sparkContext.broadcast(kit.Filter.of(wanted, "v"))
 
-    tokens = sets.select("v", "tokens")
-    first = kit.written(_opened(stars.select("g").distinct().join(tokens, F.col("g") == F.col("v")).select("g", "v", "tokens"), stars.join(tokens, "v"), percent), "links")
-    classes = kit.written(graph.components(first), "classes")
+        def emit(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
+            v = np.array([node_of(s) for s in sets], np.int64)
+            hit = np.flatnonzero(sent.value.may_have(v)) if len(v) else np.zeros(0, np.int64)
+            return [ids.take(pa.array(hit)), pa.array(v[hit]), pa.array([len(sets[k]) for k in hit], pa.int64()), pa.array([(bits_of(sets[k]) if with_bits else sets[k]).tobytes() for k in hit], pa.binary())]
 
-    # groups: classes cut to GROUP members
-    sized = classes.groupBy("root").agg(F.ceil(F.count("node") / GROUP).alias("parts"))
-    part = classes.join(sized, "root").select(F.col("node").alias("v"), F.col("root").alias("c"), F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("g"))
-    member = kit.written(sets.select("v").join(part, "v", "left").select("v", F.coalesce("c", "v").alias("c"), F.coalesce("g", "v").alias("g")), "members")
+        name = "bits" if with_bits else "tokens"
+        mine = kit.bounded_broadcast(wanted.select(F.col("v").alias("_v"), F.col("id").alias("_id")), BROADCAST_ROWS)
+        found = _scan(texts, words, emit, f"id {kind}, v long, n long, {name} binary")
+        once = found.join(mine, (F.col("v") == F.col("_v")) & F.col("id").eqNullSafe(F.col("_id"))).select("v", "n", name)
+        return once.dropDuplicates(["v"]) if repeated else once
 
-    # queries and groups of different classes with a token in common, one direction of each pair
+    # a node asks its own group and each later one that shares enough of its prefix tokens and has members of like size
     posted = postings.join(member, "v")
-    asked = posted.select("token", "v", "c").join(posted.select("token", "g", F.col("c").alias("d")).distinct(), "token").where("c < d").select("v", "g").distinct()
-
-    def union(table: pa.Table) -> pa.Table:
-        return pa.table({"g": table["g"][:1], "union": pa.array([bits_of(np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["tokens"]]))).tobytes()], pa.binary())})
-
-    alone = member.where("v = g").join(sets, "v").select("g", F.col("bits").alias("union"))
-    grouped = member.where("v <> g").join(tokens, "v").select("g", "tokens").groupBy("g").applyInArrow(union, "g long, union binary")
-    matrix = alone.unionByName(grouped)
-    qualified = kit.written(_bounded(asked.join(sets.select("v", "n", "bits"), "v").join(matrix, "g"), percent), "qualified")
-
-    second = kit.written(_opened(member.join(qualified.select("g").distinct(), "g", "left_semi").join(tokens, "v").select("g", "v", "tokens"), qualified.join(tokens, "v"), percent), "links")
-    between = second.join(member.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(member.select(F.col("v").alias("b"), F.col("c").alias("y")), "b").select("x", "y")
-    merged = graph.components(between, "x", "y").select(F.col("node").alias("c"), "root")
-    whole = member.join(merged, "c", "left").select("v", F.coalesce("root", "c").alias("c"))
+    having = posted.groupBy("token", F.col("g").alias("other")).agg(F.count("v").alias("owners"))
+    met = posted.join(having, "token").where("g < other or (g = other and owners > 1)").groupBy("v", F.col("other").alias("g")).agg(F.count("token").alias("common"))
+    sized = member.join(nodes.select("v", "n"), "v")
+    groups = sized.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    overlap = lambda c: F.ceil(F.col(c) * percent / 100)
+    asked = met.join(groups, "g").join(nodes.select("v", "n"), "v")
+    asked = asked.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("common") >= F.least(F.lit(SHARED), overlap("n"), overlap("least"))))
+    asked = kit.written(asked.join(member.select("v", F.col("g").alias("_g")), "v").select("v", "g", (F.col("g") == F.col("_g")).alias("own")), "asked")
+
+    # the matrix: a row of bits a group that is asked
+    near = member.join(asked.select("g").distinct(), "g", "left_semi").select("g", "v")
+    bits = kit.kept(sets_of(near.select("v").unionByName(asked.select("v")), True))
+
+    def row_of(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["bits"]]
+        union = np.packbits(folded(rows, min(map(len, rows)) * 8).max(axis=0))
+        return pa.table({"g": table["g"][:1], "union": pa.array([union.tobytes()], pa.binary())})
+
+    matrix = near.join(bits, "v").groupBy("g").applyInArrow(row_of, "g long, union binary")
+    qualified = _bounded(asked.where("not own").join(bits, "v").join(matrix, "g").select("v", "g", "n", "bits", "union"), percent)
+    qualified = kit.written(qualified.unionByName(asked.where("own").select("v", "g")), "qualified")
+    held.append(bits)
+
+    # opened groups: pairwise bounds, then sets
+    opened = member.join(qualified.select("g").distinct(), "g", "left_semi").select("g", "v")
+    visits = kit.kept(_screened(_visits(opened, qualified).join(bits, "v"), percent))
+    held.append(visits)
+    sets = sets_of(visits.select("v"), False)
+    links = _links(sets.join(kit.bounded_broadcast(visits, BROADCAST_ROWS), "v"), percent)
+    whole = graph.components(links).select(F.col("node").alias("v"), F.col("root").alias("c"))
+    for used in held:
+        used.unpersist()
 
     named = nodes.select("v", "id").join(whole, "v", "left").select("v", "id", F.coalesce("c", "v").alias("c"))
     named = kit.written(named.join(named.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("v", "component_id"), "named")
     out = rows.join(named, "v", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *[F.col("v").alias("node")] * with_node)
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each class, with all columns: that of the least id (of equal rows, and of equal sets under one id, any one).  Rows without words all stay."""
+    classes = join(docs, id_col=id_col, text_col=text_col, words=words, percent=percent, with_node=True)
+    kept = classes.where((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__class_id"), F.col("node").alias("__class_v")).agg(F.count("node").alias("__class_n"))
+    kept = kit.written(kept, "kept")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)), words)
+            yield batch.append_column("__class_node", pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
+
+    rows = docs.mapInArrow(named, StructType([*docs.schema.fields, StructField("__class_node", LongType())]))
+    wordless = rows.where(F.col("__class_node").isNull())
+    found = rows.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__class_id")) & (F.col("__class_node") == F.col("__class_v")), "left_semi")
+    if kept.where(F.col("__class_n") > 1).limit(1).count():
+        found = found.dropDuplicates([id_col, "__class_node"])
+    return found.unionByName(wordless).select(*docs.columns)
