@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct matches and token pairs whose results a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:

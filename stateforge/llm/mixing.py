@@ -87,9 +87,9 @@ def sized(docs: DataFrame, *, id_col: str, source_col: str, text_col: str) -> Da
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, cell_words: int = CELL_WORDS) -> DataFrame:
-    """(id, size, source_size, target, taken, shard) of every row."""
-    rows = kit.written(sized(docs, id_col=id_col, source_col=source_col, text_col=text_col), "sized")
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, cell_words: int = CELL_WORDS, with_hash: bool = False) -> DataFrame:
+    """(id, size, source_size, target, taken, shard[, h]) of every row; `h` is the hash of id and text."""
+    rows = kit.written(sized(docs, id_col=id_col, source_col=source_col, text_col=text_col), "sized", compact=False)
     sources = kit.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats), "sources")
     most, least = sources.agg(F.max("source_size"), F.min(F.when(F.col("source_size") > 0, F.col("source_size")))).head()
     block = max(1, min(block_words, (least or 1) // 256))
@@ -121,4 +121,20 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         return F.floor(F.col("seats") / F.col("blocks")) * x + block * picked(full) + rest * (picked(full + 1) - picked(full))
 
     taken = (until(F.col("start") + F.col("size")) - until(F.col("start"))).cast("long")
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "shard")
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "shard", *["h"] * with_hash)
+
+
+def drawn(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: rows of `docs`, all columns, each as often as it is taken.
+
+    Whole documents are drawn taken / size times, the fraction by a seeded draw
+    (rows equal in id and text share theirs); documents without words stay.
+    """
+    taken = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, with_hash=True)
+    chance = F.pmod(F.xxhash64(F.lit(SEED + 2), "h"), F.lit(1 << 20)) / float(1 << 20)
+    times = taken.groupBy(F.col(id_col).alias("__mix_id"), F.col("h").alias("__mix_h")).agg(F.sum("taken").alias("__mix_taken"), F.sum("size").alias("__mix_size"), F.first("h").alias("h"))
+    times = times.select("__mix_id", "__mix_h", F.when(F.col("__mix_size") > 0, F.floor(F.col("__mix_taken") / F.col("__mix_size") + chance)).otherwise(1).cast("int").alias("__mix_times"))
+    times = kit.written(times, "times")
+    rows = docs.withColumn("__mix_hash", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
+    found = rows.join(times.hint("shuffle_hash"), (F.col("__mix_hash") == F.col("__mix_h")) & F.col(id_col).eqNullSafe(F.col("__mix_id")))
+    return found.where(F.col("__mix_times") > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*docs.columns)

@@ -30,7 +30,7 @@ from stateforge.llm import kit
 from stateforge.llm.toxicity import labelled_sample
 
 #: Buckets (the last one is the vector that every text has), sample bound, training parameters.
-BITS, DIM, PER_CLASS, EPOCHS, RATE, GAIN = 16, 8, 2500, 6, 0.3, 100.0
+BITS, DIM, PER_CLASS, EPOCHS, RATE, GAIN = 16, 8, 2000, 6, 0.3, 100.0
 NGRAMS = (3, 5)
 
 
@@ -155,10 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.concatenate([i, np.minimum(n, 0xFFFF)]).astype(np.uint16 if bits <= 16 else np.uint32).tobytes() for i, n in bags(batch.column(2), bits)], pa.binary())], ["_id", "_label", "_bag"])
 
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _bag binary").dropDuplicates(["_id"]).collect()
-    rows.sort(key=lambda r: r[0])
-    flat = [np.frombuffer(r[2], np.uint16 if bits <= 16 else np.uint32).reshape(2, -1) for r in rows]
-    return learn([(x[0], x[1]) for x in flat], np.array([r[1] for r in rows], float), prior, bits=bits)
+    rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _bag binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
+    flat = [np.frombuffer(x.as_buffer(), np.uint16 if bits <= 16 else np.uint32).reshape(2, -1) for x in rows["_bag"]]
+    return learn([(x[0], x[1]) for x in flat], rows["_label"].to_numpy().astype(float), prior, bits=bits)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stateforge.llm import kit
 
 #: Feature space, sample bound and FTRL parameters.
-BITS, PER_CLASS, EPOCHS = 20, 4000, 4
+BITS, PER_CLASS, EPOCHS = 20, 3000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.2
 
 
@@ -128,9 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in feature_sets(batch.column(2))], pa.binary())], ["_id", "_label", "_set"])
 
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _set binary").dropDuplicates(["_id"]).collect()
-    rows.sort(key=lambda r: r[0])
-    return learn([np.frombuffer(r[2], np.uint32) for r in rows], np.array([r[1] for r in rows], float), prior)
+    rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _set binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
+    return learn([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["_set"]], rows["_label"].to_numpy().astype(float), prior)
 
 
 def score(docs: DataFrame, weights: Weights, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -151,6 +150,19 @@ def score(docs: DataFrame, weights: Weights, *, id_col: str = "doc_id", text_col
     return out.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), F.col("_score").alias("score"))
 
 
+def below(docs: DataFrame, weights: Weights, threshold: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        table = w.table()
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index(text_col)), table, w.bias, w.bits) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
     w = train(docs, labels, id_col=id_col, text_col=text_col)
