@@ -293,7 +293,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
 
     shared = kit.kept(heads(None).groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("token"))
     held = [shared]
-    postings = kit.kept(heads(kit.Filter.of(shared, "token")).distinct().join(shared, "token", "left_semi"))
+    postings = kit.kept(heads(kit.Filter.of(shared, "token")).distinct().join(shared.hint("shuffle_hash"), "token", "left_semi"))
 
     held.append(postings)
 
@@ -322,13 +322,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
         return once.dropDuplicates(["v"]) if repeated else once
 
     # a node asks its own group and each later one that shares enough of its prefix tokens and has members of like size
-    posted = postings.join(member, "v")
+    # (joins are hinted: one plan at every size, rather than broadcasts as long as a side is small)
+    posted = kit.kept(postings.join(member.hint("shuffle_hash"), "v"))
+    held.append(posted)
     having = posted.groupBy("token", F.col("g").alias("other")).agg(F.count("v").alias("owners"))
-    met = posted.join(having, "token").where("g < other or (g = other and owners > 1)").groupBy("v", F.col("other").alias("g")).agg(F.count("token").alias("common"))
+    met = posted.join(having.hint("shuffle_hash"), "token").where("g < other or (g = other and owners > 1)").groupBy("v", F.col("other").alias("g")).agg(F.count("token").alias("common"))
     sized = member.join(nodes.select("v", "n"), "v")
     groups = sized.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     overlap = lambda c: F.ceil(F.col(c) * percent / 100)
-    asked = met.join(groups, "g").join(nodes.select("v", "n"), "v")
+    asked = met.join(groups.hint("shuffle_hash"), "g").join(nodes.select("v", "n").hint("shuffle_hash"), "v")
     asked = asked.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("common") >= F.least(F.lit(SHARED), overlap("n"), overlap("least"))))
     asked = kit.written(asked.join(member.select("v", F.col("g").alias("_g")), "v").select("v", "g", (F.col("g") == F.col("_g")).alias("own")), "asked")
 
