@@ -266,6 +266,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
 
     counters = kit.tree_sum(texts.select("text").mapInArrow(count, "counters binary"), "counters", "u4")
     counted = spark.sparkContext.broadcast(np.zeros(1 << COUNTERS, np.uint16) if counters is None else np.minimum(counters, 0xFFFF).astype(np.uint16))
+    del counters
+    kit.release()
 
     # nodes: distinct sets
     def summary(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:

@@ -8,6 +8,9 @@ Arrow columns with numpy, and never on a prefix of a text.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -114,6 +117,14 @@ def tree_sum(df: DataFrame, column: str, dtype: str, fan_in: int = 64, combine=n
     return total
 
 
+def release() -> None:
+    """Gives the driver's memory of dropped tables and arrays back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Filter:
     """A set of 64-bit hashes as a bit map of limited size: says yes for all members, and seldom for others.
 

@@ -157,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _bag binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
     flat = [np.frombuffer(x.as_buffer(), np.uint16 if bits <= 16 else np.uint32).reshape(2, -1) for x in rows["_bag"]]
-    return learn([(x[0], x[1]) for x in flat], rows["_label"].to_numpy().astype(float), prior, bits=bits)
+    out = learn([(x[0], x[1]) for x in flat], rows["_label"].to_numpy().astype(float), prior, bits=bits)
+    del rows, flat
+    kit.release()
+    return out
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

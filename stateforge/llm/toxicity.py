@@ -129,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _set binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    return learn([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["_set"]], rows["_label"].to_numpy().astype(float), prior)
+    out = learn([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["_set"]], rows["_label"].to_numpy().astype(float), prior)
+    del rows
+    kit.release()
+    return out
 
 
 def score(docs: DataFrame, weights: Weights, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
