@@ -197,6 +197,34 @@ def test_pll_learns_and_never_sees_its_target():
     assert full.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_pll_tells_rare_words_apart(spark):
+    """A word of a shared token counts as often as it occurs: by what a document's rare words are, not by their bucket."""
+    rng = random.Random(2)
+    filler = [f"f{i}" for i in range(pll.named_of(pll.BASE))]
+    texts = [" ".join(filler) for _ in range(400)]
+    known, junk = [f"known{i}" for i in range(1000)], [f"junk{i}" for i in range(1000)]
+    texts += [" ".join(rng.sample(known, 20)) for _ in range(500)]  # each about 10 times
+    texts += [" ".join(junk[i : i + 20]) for i in range(0, 1000, 20)]  # each once
+    got = {r.doc_id: r.per_word for r in pll.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert min(got[i] for i in range(400, 900)) > max(got[i] for i in range(900, 950)) + 1
+
+
+def test_pll_is_token_times_share_of_token(spark, monkeypatch):
+    """With an untaught network: log(1 / tokens) + log(count(word) / count(token)) of every word, by the counts of the whole corpus."""
+    monkeypatch.setattr(pll, "named_of", lambda base: 0)
+    monkeypatch.setattr(pll, "train", lambda docs, top, counts, **_: pll.Network(np.zeros_like(pll.Network.begin(counts).flat), top.base))
+    items = [(i, f"a b{i % 3} c{i} a" + " d" * i) for i in range(30)] + [(30, None), (5, "another text of one id"), (5, "another text of one id")]
+    one = lambda w: int(pll.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    n = collections.Counter(w for _, t in items for w in (t or "").split())
+    token = collections.Counter()
+    for w, k in n.items():
+        token[one(w) % pll.TOKENS] += k
+    want = sorted((i, round(sum(np.log(n[w] / token[one(w) % pll.TOKENS] / pll.TOKENS) for w in (t or "").split()), 3)) for i, t in items)
+    got = pll.score(spark.createDataFrame(items, "doc_id long, text string").repartition(4)).collect()
+    assert all(i == j and abs(x - y) < 0.01 for (i, x), (j, y) in zip(sorted((r.doc_id, r.log_likelihood) for r in got), want, strict=True))
+    assert pll.base_of(10**6) == 32 and pll.base_of(10**8) == 100
+
+
 def codec():
     tokenizers = pytest.importorskip("public_tokenizers")
     with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
