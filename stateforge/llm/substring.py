@@ -2,9 +2,13 @@
 
 A text is cut into sentences: after a word that ends in . ! or ? (closing
 quotes and brackets may follow; one of a row of such words) and at line ends.  A sentence of more than
-`LONG` words is cut further after words that a hash picks, so that one very
-long sentence hides no repeat; the cuts depend on the words alone, not on where
-they stand.  From every sentence on, a run of `RUN` sentences, or of as many
+`LONG` words is cut further after the word of the least hash (of equal ones the
+last) of every `WINDOW` words of it, so that one very long sentence hides no
+repeat: no piece is longer than LONG words, and whether a word is a cut depends
+on the WINDOW - 1 words on each side of it alone.  A passage of over 50 words
+that stands in two texts with the same line ends so has a span in common, whatever
+its words are: at most 13 words at each end can be cut otherwise, and the rest
+is at least 3 whole pieces and 16 words.  From every sentence on, a run of `RUN` sentences, or of as many
 more as it takes to reach `LEAST_WORDS` words, is a span; words compare in
 lower case (A-Z) and white space doesn't count.  Spans are hashed (64 bits),
 joined over all documents, and the first place of each (smallest id, then
@@ -16,7 +20,8 @@ pre-aggregated before the shuffle, so a span that a third of all documents
 share is no hot spot.
 
 Defined results: null and empty texts have no sentences and stay as they are;
-texts with fewer than RUN sentences or LEAST_WORDS words have no spans; rows of
+texts with fewer than LEAST_WORDS words have no spans, those with fewer than RUN
+sentences are one span; rows of
 one id are one document: equal rows don't remove each other's text; a null id is an id and
 comes first; columns beside id and text are ignored.  Two different spans of one
 hash (chance about n^2 / 2^65 for n spans) would count as a repeat.
@@ -33,13 +38,27 @@ from pyspark.sql import functions as F
 
 from stateforge.llm import kit
 
-RUN, LEAST_WORDS, LONG, CUT_OF_16 = 3, 16, 10, 3
+RUN, LEAST_WORDS, LONG, WINDOW = 3, 16, 10, 7
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b"\"')]}")] = True
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 
 
+def least(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The places of the least hash (the last of equal ones) of every WINDOW words inside a sentence of more than LONG words."""
+    size = np.diff(first)
+    left = np.repeat(first[1:], size) - np.arange(len(h))  # words from here to the sentence's end
+    start = np.flatnonzero(np.repeat(size > LONG, size) & (left >= WINDOW))
+    best, at = h[start], start.copy()
+    for k in range(1, WINDOW):
+        other = h[start + k]
+        less = other <= best
+        best = np.where(less, other, best)
+        at[less] = start[less] + k
+    return at
+
+
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each sentence and the number of words, len+1 offsets of each text's sentences, word starts, word ends, word hashes)."""
     starts, ends, bounds = kit.word_spans(data, offsets)
@@ -59,8 +78,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     stop[np.unique(np.searchsorted(starts, lines)[np.searchsorted(starts, lines) > 0]) - 1] = True
     stop[bounds[1:][bounds[1:] > 0] - 1] = True
     first = np.append(0, np.flatnonzero(stop) + 1)
-    long = np.repeat(np.diff(first) > LONG, np.diff(first))
-    stop |= long & ((h >> np.uint64(60)).astype(np.int64) < CUT_OF_16)
+    stop[least(h, first)] = True
     first = np.append(0, np.flatnonzero(stop) + 1)
     return first, np.searchsorted(first, bounds), starts, ends, h
 
@@ -75,6 +93,8 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     reach = np.searchsorted(first, first[:-1] + LEAST_WORDS)  # the first sentence end with enough words
     until = np.maximum(np.arange(n) + RUN, reach)
     limit = np.repeat(per_text[1:], np.diff(per_text))
+    whole = per_text[:-1][(np.diff(per_text) > 0) & (np.diff(per_text) < RUN)]  # texts of few sentences are one span
+    until[whole] = np.where(reach[whole] <= limit[whole], limit[whole], until[whole])
     ok = np.flatnonzero(until <= limit)
     until = until[ok]
     up, down = kit.powers(len(h) + 1)

@@ -401,6 +401,31 @@ def test_substring_finds_passages(spark):
             assert got[k].text == texts[k] and got[k].n_removed == 0
 
 
+def test_substring_spans_every_passage():
+    """Any passage of 51 words has a span in common in two texts, wherever it stands and however few words it has."""
+    rng = random.Random(9)
+    bare = [f"x{i}" for i in range(5000)]
+    kinds = [bare, *([f"{k}few{i}" for i in range(1 + k % 3)] for k in range(30)), [w + rng.choice(["", "", "", "", "", "", "."]) for w in bare]]
+
+    def hashes(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        _, _, _, value, (first, *_) = substring.spans(data, np.array([0, len(data)]))
+        assert np.diff(first).max() <= substring.LONG
+        return set(value.tolist())
+
+    for turn in range(2000):
+        words = kinds[turn % len(kinds)] if turn % 2 else bare
+        passage = [rng.choice(words) for _ in range(51)]
+        around = [[rng.choice(bare) for _ in range(rng.randint(0, 40))] for _ in range(4)]
+        assert hashes([*around[0], *passage, *around[1]]) & hashes([*around[2], *passage, *around[3]])
+
+
+def test_substring_short_texts_are_one_span(spark):
+    text = "one two three four five six seven eight nine. ten eleven twelve thirteen fourteen fifteen sixteen seventeen."
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame([(1, text), (2, text), (3, "one two three. four.")], "doc_id long, text string")).collect()}
+    assert got[1].text == text and got[2].text == "" and got[2].words_removed == 17 and got[3].n_removed == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(name, same_as_sql):
     same_as_sql(queries.QUERIES[name], queries.ORACLE_SQL[name])
