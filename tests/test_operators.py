@@ -118,6 +118,20 @@ def test_statistics(spark):
     assert row.mean_difference == 0.5 and row.ci_low < 0.5 < row.ci_high and row.ci_high - row.ci_low < 0.2
 
 
+def test_bootstrap_is_the_same_at_every_size(spark):
+    rng = random.Random(3)
+    rows = [(i, float(rng.random() < 0.5), rng.choice([0.0, 0.5, 1.0])) for i in range(300)]
+    pairs = spark.createDataFrame([*rows, (300, None, 1.0)], "sample_id long, baseline double, candidate double")
+    a = evaluation.paired_bootstrap([r[1] for r in rows], [r[2] for r in rows], iterations=4000)
+    b = evaluation.multinomial_bootstrap(pairs)
+    assert b.samples == a.samples == 300 and b.mean_difference == pytest.approx(a.mean_difference)
+    assert b.ci_low == pytest.approx(a.ci_low, abs=0.01) and b.ci_high == pytest.approx(a.ci_high, abs=0.01)
+    one = evaluation.multinomial_bootstrap(pairs, iterations=1)
+    assert one.ci_low == one.ci_high
+    with pytest.raises(ValueError, match="non-zero"):
+        evaluation.multinomial_bootstrap(pairs.limit(0))
+
+
 def test_early_stop_follows_the_last_accepted(spark):
     h = spark.createDataFrame([("r", s, v) for s, v in enumerate([0.5, 0.55, 0.6, 0.5, 0.58])], "run string, step long, score double")
     row = evaluation.early_stop(h, run="run", min_delta=0.1, patience=2).head()
