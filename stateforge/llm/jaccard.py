@@ -6,25 +6,34 @@ documents link when 100 * intersection >= percent * union.  The join finds the
 classes of linked documents exactly:
 
 1. Documents with equal sets are one node.
-2. Two nodes that link share `SHARED` tokens of their prefixes (or all that must
-   be common, if fewer): a node's rarest n - ceil(percent * n) + SHARED tokens.
-   Rarity comes from a table of counters of fixed size; any common order is
-   exact.  Only tokens that two prefixes share are kept.
-3. Groups: a node's family is the least of its shared prefix tokens, so near
-   copies of one text mostly come together; a family is cut into groups of about
-   `GROUP` members.
-4. The matrix has a row of bits a group: the union of its members' tokens,
-   hashed to columns.  A query is a node and each group whose members' prefixes
-   have that many of its prefix tokens.  Tokens of the query that meet no bit bound the overlap from
-   above; another group is opened only if the bound reaches percent of the query.
+2. Two nodes of n and m tokens that link have a = ceil(percent * (n + m) / (100 +
+   percent)) tokens in common at least.  In one order of all tokens, rarest first,
+   they so share `SHARED` (or a, if fewer) of each one's first n - a + SHARED, its
+   prefix for that partner.  Rarity comes from a table of counters of fixed size;
+   any common order is exact.  Only tokens that two prefixes share are kept, and
+   only nodes that have enough of them; the sets of these are read once.
+3. Hubs: of the nodes that share a token the one with the fewest tokens of its own
+   is the hub, and each node is compared with the hub that most of its tokens name.
+   Near copies of one text mostly link to it, and so are one part from here on.
+4. Groups: nodes of a part of `GROUP` or more are groups of their own; the others
+   go by the least of their shared prefix tokens.  What is larger than `GROUP`
+   members or `TOKENS` tokens is cut by size and hash.
+5. The matrix has a row of bits a group: the union of its members' tokens,
+   hashed to columns.  A query is a node and each group of another part whose
+   members' prefixes have enough of its prefix tokens; nodes of large parts ask
+   only parts that are larger still, all others ask these and later groups.
+   Tokens of the query that meet no bit bound the overlap from above; another group
+   is opened only if the bound reaches what a link takes.
    In an opened group the same bound, both ways, leaves out members one by one.
-5. A query's overlaps with the members left are counted at once, exactly, by the
+6. A query's overlaps with the members left are counted at once, exactly, by the
    members' token lists; of the links that hold, those that join parts not joined
    yet are given.
 
 Connected components of the links are the classes.  A family of m near copies
-costs about m * m / GROUP queries and at most m + GROUP links a group, not m * m
-rows.  Nothing but counters and filters of fixed size reaches the driver.
+around one text costs a comparison a node with its hub, and no node asks its own
+part; nodes that link to no hub but share prefixes with k members of their family
+cost k / GROUP queries each.  How many links a class has isn't counted, as that
+takes the pairs.  Nothing but counters and filters of fixed size reaches the driver.
 
 Defined results: null and empty texts (and such without words) have an empty set, link with
 nothing and are their own class; rows of equal text are one class; a class id
@@ -46,8 +55,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from stateforge.llm import graph, kit
 
-#: Members of a group, queries that meet a copy of it together, counters (a power of 2), rows broadcast.
-GROUP, TOGETHER, COUNTERS, BROADCAST_ROWS = 256, 512, 21, 500_000
+#: Members of a group and queries that meet a copy of it together, tokens of either, counters (a power of 2), rows broadcast.
+GROUP, TOGETHER, TOKENS, COUNTERS, BROADCAST_ROWS = 256, 512, 1 << 21, 21, 500_000
 #: Rows that a worker unpacks at a time; prefix tokens that two linked nodes must share.
 SLICE, SHARED = 1000, 4
 
@@ -75,13 +84,15 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def prefix(tokens: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest tokens: of those any linked set has min(SHARED, overlap) at least in its own prefix."""
+    """The rarest tokens, rarest first: of those any linked set has min(SHARED, overlap) at least in its own prefix."""
     n = len(tokens)
-    size = n - -(-percent * n // 100) + SHARED if n else 0
-    if size >= n:
-        return tokens
     rarity = counters[(tokens >> np.uint64(64 - COUNTERS)).astype(np.int64)]
-    return tokens[np.lexsort((tokens, rarity))[:size]]
+    return tokens[np.lexsort((tokens, rarity))[: n - -(-percent * n // 100) + SHARED]]
+
+
+def common(n, m, percent: int):
+    """How many tokens two linked sets of n and m (columns) have in common at least."""
+    return F.ceil((n + m) * percent / (100 + percent))
 
 
 def bits_of(tokens: np.ndarray) -> np.ndarray:
@@ -156,10 +167,10 @@ def _scan(docs: DataFrame, words: int, emit, schema: str) -> DataFrame:
 def _visits(members: DataFrame, queries: DataFrame) -> DataFrame:
     """(g, place, v, member, asks): which nodes meet where.
 
-    The queries (g, v) of a group are dealt to as many places as they need, and
+    The queries (g, v, n) of a group are dealt to as many places as they need, and
     its members (g, v) go to each.  Only ids are moved for this.
     """
-    places = queries.groupBy("g").agg(F.ceil(F.count("v") / TOGETHER).cast("int").alias("places"))
+    places = queries.groupBy("g").agg(F.ceil(F.greatest(F.count("v") / TOGETHER, F.sum("n") / TOKENS)).cast("int").alias("places"))
     left = members.join(places, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), "v", F.lit(True).alias("member"), F.lit(False).alias("asks"))
     right = queries.join(places, "g").select("g", F.pmod(F.xxhash64("v"), F.col("places")).cast("int").alias("place"), "v", F.lit(False).alias("member"), F.lit(True).alias("asks"))
     return left.unionByName(right).groupBy("g", "place", "v").agg(F.bool_or("member").alias("member"), F.bool_or("asks").alias("asks"))
@@ -228,15 +239,27 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     return _meeting(rows, "tokens", settle, "a long, b long")
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """The (v, g) of pairs (v, g, n, bits, union) whose overlap bound allows a link of node v to a member of group g."""
+def _with_bits(sets: DataFrame) -> DataFrame:
+    """(v, n, bits) of (v, n, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [bits_of(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits, pa.binary())], ["v", "n", "bits"])
+
+    return sets.select("v", "n", "tokens").mapInArrow(run, "v long, n long, bits binary")
+
+
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """The (v, g, n) of pairs (v, g, n, need, bits, union) whose overlap bound allows a link of node v to a member of group g, for which it takes `need` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [missing(np.frombuffer(q.as_buffer(), np.uint8), np.frombuffer(u.as_buffer(), np.uint8)) <= n - -(-percent * n // 100) for n, q, u in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            n, need = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = [missing(np.frombuffer(q.as_buffer(), np.uint8), np.frombuffer(u.as_buffer(), np.uint8)) <= n[k] - need[k] for k, (q, u) in enumerate(zip(batch.column(4), batch.column(5), strict=True))]
+            yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(run, "v long, g long")
+    return pairs.mapInArrow(run, "v long, g long, n long")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, with_node: bool = False) -> DataFrame:
@@ -281,64 +304,88 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
         sent = spark.sparkContext.broadcast(only)
 
         def emit(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-            found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            found, place, owner, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in sets:
                 head = prefix(s, counted.value, percent)
-                if sent.value is not None:
-                    head = head[sent.value.may_have(head.view(np.int64))]
-                if len(head):
-                    found.append(head)
-                    owner.append(np.full(len(head), node_of(s)))
-            return [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))]
+                at = np.flatnonzero(sent.value.may_have(head.view(np.int64))) if sent.value is not None else np.arange(len(head))
+                if len(at):
+                    found.append(head[at])
+                    place.append(at)
+                    owner.append(np.full(len(at), node_of(s)))
+                    size.append(np.full(len(at), len(s)))
+            return [pa.array(np.concatenate(x).view(np.int64)) for x in (found, owner, place, size)][: 2 if only is None else 4]
 
-        return _scan(texts, words, emit, "token long, v long")
+        return _scan(texts, words, emit, "token long, v long" if only is None else "token long, v long, at long, n long")
 
     shared = kit.kept(heads(None).groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("token"))
-    held = [shared]
-    postings = kit.kept(heads(kit.Filter.of(shared, "token")).distinct().join(shared.hint("shuffle_hash"), "token", "left_semi"))
-
-    held.append(postings)
-
-    # groups of nodes that share a token of their prefixes
-    family = postings.groupBy("v").agg(F.min("token").alias("f"))
-    parts = family.groupBy("f").agg(F.ceil(F.count("v") / GROUP).alias("parts"))
-    member = kit.written(family.join(parts, "f").select("v", F.xxhash64("f", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("g")), "member")
-
+    posted = kit.kept(heads(kit.Filter.of(shared, "token")).distinct().join(shared.hint("shuffle_hash"), "token", "left_semi"))
+    need = F.ceil(F.col("n") * percent / 100)
+    enough = posted.groupBy("v").agg(F.count("token").alias("known"), F.max("n").alias("n")).where(F.col("known") >= F.least(F.lit(SHARED), need))
+    alone = (F.least("n", F.col("n") - need + SHARED) - F.col("known")).alias("alone")
+    postings = kit.written(posted.join(enough.select("v", alone).hint("shuffle_hash"), "v"), "postings")
+    shared.unpersist()
+    posted.unpersist()
+
+    # the sets of these nodes, each read from the text of one document
     repeated = rows.groupBy("id", "v").count().where("count > 1").limit(1).count() > 0
-
-    def sets_of(wanted: DataFrame, with_bits: bool) -> DataFrame:
-        """(v, n, tokens or bits) of the nodes `wanted` (v): each read from the text of one document."""
-        wanted = kit.kept(wanted.distinct().join(nodes.select("v", "id"), "v"))
-        held.append(wanted)
-        sent = spark.sparkContext.broadcast(kit.Filter.of(wanted, "v"))
-
-        def emit(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-            v = np.array([node_of(s) for s in sets], np.int64)
-            hit = np.flatnonzero(sent.value.may_have(v)) if len(v) else np.zeros(0, np.int64)
-            return [ids.take(pa.array(hit)), pa.array(v[hit]), pa.array([len(sets[k]) for k in hit], pa.int64()), pa.array([(bits_of(sets[k]) if with_bits else sets[k]).tobytes() for k in hit], pa.binary())]
-
-        name = "bits" if with_bits else "tokens"
-        mine = kit.bounded_broadcast(wanted.select(F.col("v").alias("_v"), F.col("id").alias("_id")), BROADCAST_ROWS)
-        found = _scan(texts, words, emit, f"id {kind}, v long, n long, {name} binary")
-        once = found.join(mine, (F.col("v") == F.col("_v")) & F.col("id").eqNullSafe(F.col("_id"))).select("v", "n", name)
-        return once.dropDuplicates(["v"]) if repeated else once
-
-    # a node asks its own group and each later one that shares enough of its prefix tokens and has members of like size
-    # (joins are hinted: one plan at every size, rather than broadcasts as long as a side is small)
-    posted = kit.kept(postings.join(member.hint("shuffle_hash"), "v"))
-    held.append(posted)
-    having = posted.groupBy("token", F.col("g").alias("other")).agg(F.count("v").alias("owners"))
-    met = posted.join(having.hint("shuffle_hash"), "token").where("g < other or (g = other and owners > 1)").groupBy("v", F.col("other").alias("g")).agg(F.count("token").alias("common"))
-    sized = member.join(nodes.select("v", "n"), "v")
-    groups = sized.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    overlap = lambda c: F.ceil(F.col(c) * percent / 100)
-    asked = met.join(groups.hint("shuffle_hash"), "g").join(nodes.select("v", "n").hint("shuffle_hash"), "v")
-    asked = asked.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("common") >= F.least(F.lit(SHARED), overlap("n"), overlap("least"))))
-    asked = kit.written(asked.join(member.select("v", F.col("g").alias("_g")), "v").select("v", "g", (F.col("g") == F.col("_g")).alias("own")), "asked")
+    wanted = kit.kept(postings.select("v").distinct().join(nodes.select("v", "id"), "v"))
+    wanting = spark.sparkContext.broadcast(kit.Filter.of(wanted, "v"))
+
+    def tokens(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
+        v = np.array([node_of(s) for s in sets], np.int64)
+        hit = np.flatnonzero(wanting.value.may_have(v)) if len(v) else np.zeros(0, np.int64)
+        return [ids.take(pa.array(hit)), pa.array(v[hit]), pa.array([len(sets[k]) for k in hit], pa.int64()), pa.array([sets[k].tobytes() for k in hit], pa.binary())]
+
+    mine = kit.bounded_broadcast(wanted.select(F.col("v").alias("_v"), F.col("id").alias("_id")), BROADCAST_ROWS)
+    found = _scan(texts, words, tokens, f"id {kind}, v long, n long, tokens binary")
+    once = found.join(mine, (F.col("v") == F.col("_v")) & F.col("id").eqNullSafe(F.col("_id"))).select("v", "n", "tokens")
+    sets = kit.kept(once.dropDuplicates(["v"]) if repeated else once)
+    held = [wanted, sets]
+
+    def links_at(visits: DataFrame) -> DataFrame:
+        return _links(sets.join(kit.bounded_broadcast(visits, BROADCAST_ROWS), "v"), percent)
+
+    # each node and the hub that most of its tokens name
+    alike = lambda n, m: (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    hubs = postings.groupBy("token").agg(F.min(F.struct("alone", "v", "n")).alias("hub"))
+    beside = postings.join(hubs.hint("shuffle_hash"), "token").select("v", "n", F.col("hub.v").alias("g"), F.col("hub.n").alias("m")).where((F.col("v") != F.col("g")) & alike(F.col("n"), F.col("m")))
+    beside = beside.groupBy("v", "g").agg(F.count("n").alias("known"), F.max("n").alias("n"))
+    calls = kit.written(beside.groupBy("v").agg(F.max_by(F.struct("g", "n"), F.struct("known", "g")).alias("x")).select("v", "x.g", "x.n"), "calls")
+    parts = graph.components(links_at(_visits(calls.select("g", F.col("g").alias("v")).distinct(), calls)))
+    parts = kit.kept(parts.select(F.col("node").alias("v"), F.col("root").alias("c")))
+    held.append(parts)
+
+    # groups: of a large part each (`part` orders these by size), else of nodes that share a token of their prefixes
+    large = parts.groupBy("c").agg(F.count("v").alias("many")).where(F.col("many") >= GROUP)
+    large = parts.join(large, "c").select("v", F.struct("many", "c").alias("part"))
+    family = postings.groupBy("v").agg(F.min("token").alias("f"), F.max("n").alias("n")).join(large.hint("shuffle_hash"), "v", "left")
+    family = kit.kept(family.select("v", "n", "part", F.coalesce(F.xxhash64("part"), F.col("f")).alias("f")))
+    held.append(family)
+    pieces = F.ceil(F.greatest(F.count("v") / GROUP, F.sum("n") / TOKENS))
+    cut = family.join(family.groupBy("f").agg(pieces.alias("pieces")).where("pieces > 1").hint("shuffle_hash"), "f", "left")
+    cut = cut.withColumn("step", F.when(F.col("pieces").isNull(), 0).otherwise(F.floor(F.log("n") * 100)))
+    chunks = cut.where("pieces > 1").groupBy("f", "step").agg(pieces.alias("chunks"))
+    cut = cut.join(chunks.hint("shuffle_hash"), ["f", "step"], "left")
+    member = kit.written(cut.select("v", "n", "part", F.xxhash64("f", "step", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1)))).alias("g")), "member")
+
+    # who asks whom (joins are hinted: one plan at every size, rather than broadcasts as long as a side is small)
+    posted = postings.select("token", "v", "at").join(member.hint("shuffle_hash"), "v")
+    having = posted.groupBy("token", F.col("g").alias("other")).agg(F.count("v").alias("owners"), F.max("part").alias("theirs"), F.min("n").alias("least"), F.max("n").alias("most"))
+    largest = having.groupBy("token").agg(F.max("theirs").alias("top"))
+    asking = posted.join(largest.hint("shuffle_hash"), "token").where("part IS NULL OR part < top")
+    other_part = F.col("theirs").isNotNull() & (F.col("part").isNull() | (F.col("part") < F.col("theirs")))
+    later = F.col("part").isNull() & F.col("theirs").isNull() & ((F.col("g") < F.col("other")) | ((F.col("g") == F.col("other")) & (F.col("owners") > 1)))
+    takes = common(F.col("n"), F.greatest(F.col("least"), need), percent)
+    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("at") < F.col("n") - takes + SHARED)
+    met = asking.drop("top").join(having.hint("shuffle_hash"), "token").where((other_part | later) & fits)
+    met = met.groupBy("v", "g", F.col("other")).agg(F.count("token").alias("known"), F.min(takes).alias("need"), F.max("n").alias("n"))
+    asked = met.where(F.col("known") >= F.least(F.lit(SHARED), F.col("need")))
+    asked = kit.written(asked.select("v", F.col("other").alias("g"), "n", "need", (F.col("g") == F.col("other")).alias("own")), "asked")
 
     # the matrix: a row of bits a group that is asked
-    near = member.join(asked.select("g").distinct(), "g", "left_semi").select("g", "v")
-    bits = kit.kept(sets_of(near.select("v").unionByName(asked.select("v")), True))
+    bits = kit.kept(_with_bits(sets))
+    held.append(bits)
+    near = member.join(asked.where("not own").select("g").distinct(), "g", "left_semi").select("g", "v")
 
     def row_of(table: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["bits"]]
@@ -346,16 +393,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
         return pa.table({"g": table["g"][:1], "union": pa.array([union.tobytes()], pa.binary())})
 
     matrix = near.join(bits, "v").groupBy("g").applyInArrow(row_of, "g long, union binary")
-    qualified = _bounded(asked.where("not own").join(bits, "v").join(matrix, "g").select("v", "g", "n", "bits", "union"), percent)
-    qualified = kit.written(qualified.unionByName(asked.where("own").select("v", "g")), "qualified")
-    held.append(bits)
+    asks = asked.where("not own").select("v", "g", "need").join(bits, "v").join(matrix, "g")
+    qualified = _bounded(asks.select("v", "g", "n", "need", "bits", "union"))
+    qualified = kit.written(qualified.unionByName(asked.where("own").select("v", "g", "n")), "qualified")
 
     # opened groups: pairwise bounds, then sets
     opened = member.join(qualified.select("g").distinct(), "g", "left_semi").select("g", "v")
     visits = kit.kept(_screened(_visits(opened, qualified).join(bits, "v"), percent))
     held.append(visits)
-    sets = sets_of(visits.select("v"), False)
-    links = _links(sets.join(kit.bounded_broadcast(visits, BROADCAST_ROWS), "v"), percent)
+    links = links_at(visits).unionByName(parts.select(F.col("v").alias("a"), F.col("c").alias("b")))
     whole = graph.components(links).select(F.col("node").alias("v"), F.col("root").alias("c"))
     for used in held:
         used.unpersist()
