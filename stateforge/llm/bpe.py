@@ -8,8 +8,10 @@ entries and changes none, so appends are exact; after an edit only entries from
 the edit on can change, and they are taken over again once as many of them as
 the longest token's bytes agree.
 
-Texts are split by the pattern first, and each match is encoded on its own;
-`TextCodec` remembers the encodings of recent matches.
+Texts are split by the pattern first, and each match is encoded on its own.
+`TextCodec` encodes the distinct matches of some texts together, in order of
+their bytes: the next one keeps the table of the prefix that it shares with the
+last.  It remembers the encodings of recent matches.
 
 Defined results: null and empty texts have no ids and decode to no bytes; any
 string is encoded, special-token strings as ordinary text; repeated rows are
@@ -27,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct matches and token pairs whose results a worker remembers.
-REMEMBERED = 200_000
+#: Distinct matches and token pairs whose results a worker remembers; code points of texts whose matches are encoded together.
+REMEMBERED, TOGETHER = 200_000, 1 << 20
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -42,6 +44,7 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
+        self.names = {v: str(v) for v in ranks.values()}
         self.longest = max(map(len, ranks))
         #: answers of `stay`, by left << 32 | right
         self.known: dict[int, bool] = {}
@@ -148,14 +151,26 @@ class PrefixTable:
                 break
         return done
 
+    def become(self, data: bytes) -> None:
+        """Makes it the table of other bytes; entries of the prefix that both share are kept."""
+        kept = 0
+        for a, b in zip(self.data, data, strict=False):
+            if a != b:
+                break
+            kept += 1
+        self.data[kept:] = data[kept:]
+        del self.last[kept:]
+        self._extend(kept, len(data))
+
     def ids(self) -> list[int]:
         """The encoding of the whole string, read back from its end."""
-        out, end = [], len(self.data)
+        out, end, last, size = [], len(self.data), self.last, self.merges.size
         while end:
-            token = self.last[end - 1]
+            token = last[end - 1]
             out.append(token)
-            end -= len(self.merges.tokens[token])
-        return out[::-1]
+            end -= size[token]
+        out.reverse()
+        return out
 
 
 class TextCodec:
@@ -164,8 +179,10 @@ class TextCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merges = Merges(ranks)
         self.find = regex.compile(pattern).findall
-        self._known: dict[str, tuple[int, str, bytes]] = {}
-        self._old: dict[str, tuple[int, str, bytes]] = {}
+        #: of recent matches the ids as text, and the bytes decoded from them; and of those before them
+        self._ids: dict[str, str] = {}
+        self._bytes: dict[str, bytes] = {}
+        self._old: tuple[dict[str, str], dict[str, bytes]] = {}, {}
 
     def piece(self, piece: bytes) -> list[int]:
         """The ids of one match: its own token if it is one, else from the table."""
@@ -178,38 +195,48 @@ class TextCodec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.merges.tokens.__getitem__, ids))
 
-    def _remember(self, x: str) -> tuple[int, str, bytes]:
-        """A match's (number of ids, ids as text, bytes decoded from them), kept as long as it is used again in time."""
-        found = self._old.pop(x, None)
-        if found is None:
-            ids = self.piece(x.encode())
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(x) <= 64:
-            if len(self._known) >= REMEMBERED:
-                self._known, self._old = {}, self._known
-            self._known[x] = found
-        return found
+    def _meet(self, matches: set[str]) -> list[str]:
+        """Sees that these matches are known; gives those too long to stay so."""
+        if len(self._ids) >= REMEMBERED:
+            self._old = self._ids, self._bytes
+            self._ids, self._bytes = {}, {}
+        ids, back, (old_ids, old_back) = self._ids, self._bytes, self._old
+        new = []
+        for x in matches - ids.keys():
+            if (found := old_ids.get(x)) is not None:
+                ids[x], back[x] = found, old_back[x]
+            else:
+                new.append(x.encode())
+        new.sort()
+        merges, table, long = self.merges, PrefixTable(self.merges), []
+        names, whole = merges.names, merges.ranks.get
+        for x in new:
+            text, one = x.decode(), whole(x)
+            if one is None:
+                table.become(x)
+                found = table.ids()
+                ids[text], back[text] = " ".join([names[i] for i in found]), self.decode(found)
+            else:
+                ids[text], back[text] = names[one], merges.tokens[one]
+            if len(x) > 64:
+                long.append(text)
+        return long
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Each text's (number of ids, sha256 of the decimal ids joined by a blank, sha256 of the bytes decoded from them)."""
+        matches = [self.find(x or "") for x in texts]
+        long = self._meet(set().union(*matches))
+        ids_of, bytes_of, out = self._ids.__getitem__, self._bytes.__getitem__, []
+        for found in matches:
+            ids = " ".join(map(ids_of, found)).encode()
+            out.append((ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(map(bytes_of, found))).hexdigest()))
+        for x in long:
+            del self._ids[x], self._bytes[x]
+        return out
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the decimal ids joined by a blank, sha256 of the bytes decoded from them)."""
-        count, first = 0, True
-        ids_hash, bytes_hash = hashlib.sha256(), hashlib.sha256()
-        matches = self.find(text or "")
-        for a in range(0, len(matches), 4096):
-            names, decoded = [], []
-            known = self._known.get
-            for x in matches[a : a + 4096]:
-                found = known(x)
-                if found is None:
-                    found = self._remember(x)
-                    known = self._known.get
-                count += found[0]
-                names.append(found[1])
-                decoded.append(found[2])
-            ids_hash.update(("" if first else " ").encode() + " ".join(names).encode())
-            bytes_hash.update(b"".join(decoded))
-            first = False
-        return count, ids_hash.hexdigest(), bytes_hash.hexdigest()
+        """`digests` of one text."""
+        return self.digests([text])[0]
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -235,12 +262,19 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
             _codecs[key] = TextCodec(parse_ranks(sent.value), pattern)
         codec = _codecs[key]
         for batch in batches:
-            texts = batch.column(1)
-            rows = [codec.digest(x.as_py()) for x in texts]
+            texts = batch.column(1).to_pylist()
+            rows, some, size = [], [], 0
+            for x in texts:
+                some.append(x)
+                size += len(x or "")
+                if size >= TOGETHER:
+                    rows += codec.digests(some)
+                    some, size = [], 0
+            rows += codec.digests(some)
             n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             if with_ids:
-                out.append(pa.array([codec.encode(x.as_py()) for x in texts], pa.list_(pa.int32())))
+                out.append(pa.array([codec.encode(x) for x in texts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
