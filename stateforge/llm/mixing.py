@@ -5,8 +5,8 @@ weights in turn; they share `share` times all words by weight, a source stops
 at `repeats` times its own words, and what it leaves is shared again.
 
 Documents are dealt to shards by a seeded hash; a source is spread over only as
-many shards as it has `CELL_WORDS` words, so a (shard, source) cell is of
-bounded size however large the source is.  In each shard, seats are blocks of
+many shards as it has `CELL_WORDS` words or `CELL_ROWS` rows, so a (shard, source)
+cell is of bounded size however large the source is and however short its texts.  In each shard, seats are blocks of
 equally many words: they go to the sources one by one by the highest quotient
 of a source's target there over 1, 3, 5, ... (computed with a divisor, which
 gives the same seats).  A cell's documents stand in seeded order, cut into
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from stateforge.llm import kit
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-#: Words of a block (at most; less where the smallest source has under 256 blocks) and of a cell; rows of the source table that are broadcast.
-BLOCK_WORDS, CELL_WORDS, SEED, BROADCAST_SOURCES = 64, 1 << 16, 20, 100_000
+#: Words of a block (at most; less where the smallest source has under 256 blocks), words and rows of a cell; rows of the source table that are broadcast.
+BLOCK_WORDS, CELL_WORDS, CELL_ROWS, SEED, BROADCAST_SOURCES = 64, 1 << 16, 1 << 14, 20, 100_000
 
 
 def apportion(weights: np.ndarray, limits: np.ndarray, seats: int) -> np.ndarray:
@@ -83,19 +83,24 @@ def sized(docs: DataFrame, *, id_col: str, source_col: str, text_col: str) -> Da
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)).alias("h"),
+        hashed(id_col, source_col, text_col).alias("h"),
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, cell_words: int = CELL_WORDS, with_hash: bool = False) -> DataFrame:
-    """(id, size, source_size, target, taken, shard[, h]) of every row; `h` is the hash of id and text."""
+def hashed(id_col: str, source_col: str, text_col: str):
+    """A document's place in its cell; the same for rows equal in id, source and text."""
+    return F.xxhash64(F.lit(SEED), F.col(id_col), F.col(source_col), F.col(text_col))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, cell_words: int = CELL_WORDS, cell_rows: int = CELL_ROWS, with_hash: bool = False) -> DataFrame:
+    """(id, size, source_size, target, taken, shard[, sid, h]) of every row; `h` is `hashed`, and (shard, sid) its cell."""
     rows = kit.written(sized(docs, id_col=id_col, source_col=source_col, text_col=text_col), "sized", compact=False)
-    sources = kit.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats), "sources")
-    most, least = sources.agg(F.max("source_size"), F.min(F.when(F.col("source_size") > 0, F.col("source_size")))).head()
+    sources = kit.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), weights, share, repeats), "sources")
+    spread = F.greatest(F.lit(1), F.ceil(F.col("source_size") / cell_words), F.ceil(F.col("source_rows") / cell_rows))
+    most, least = sources.agg(F.max(spread), F.min(F.when(F.col("source_size") > 0, F.col("source_size")))).head()
     block = max(1, min(block_words, (least or 1) // 256))
-    shards = max(1, -(-(most or 0) // cell_words))
+    shards = most or 1
     known = kit.bounded_broadcast(sources.withColumnRenamed("source", "_source"), BROADCAST_SOURCES)
-    spread = F.greatest(F.lit(1), F.ceil(F.col("source_size") / cell_words))
     dealt = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.pmod(F.xxhash64(F.lit(SEED), "sid"), F.lit(shards)) + F.pmod(F.col("h"), spread), F.lit(shards)).cast("long"))
     dealt = dealt.select("id", "size", "h", "sid", "source_size", "target", "shard")
 
@@ -121,20 +126,39 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         return F.floor(F.col("seats") / F.col("blocks")) * x + block * picked(full) + rest * (picked(full + 1) - picked(full))
 
     taken = (until(F.col("start") + F.col("size")) - until(F.col("start"))).cast("long")
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "shard", *["h"] * with_hash)
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "shard", *["sid", "h"] * with_hash)
+
+
+def whole(sizes: list[int], taken: list[int], repeats: int = REPEATS) -> list[int]:
+    """How often each of a cell's documents, in their order, is drawn: what a draw is short of or beyond `taken` goes over to the next one, so the words drawn are within a document of those taken.  Documents without words are drawn once."""
+    out, owed = [], 0
+    for size, words in zip(sizes, taken, strict=True):
+        owed += words
+        times = min(repeats, max(0, (2 * owed + size) // (2 * size))) if size else 1
+        owed -= times * size
+        out.append(times)
+    return out
 
 
 def drawn(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: rows of `docs`, all columns, each as often as it is taken.
+    """The mix itself: rows of `docs`, all columns, each as often as it is drawn (0 to REPEATS times).
 
-    Whole documents are drawn taken / size times, the fraction by a seeded draw
-    (rows equal in id and text share theirs); documents without words stay.
+    Whole documents are drawn by the running sum of the words that the mix takes
+    of their cell (`whole`).  Rows equal in id, source and text are one document,
+    drawn as often as all of them together; documents without words stay.
     """
-    taken = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, with_hash=True)
-    chance = F.pmod(F.xxhash64(F.lit(SEED + 2), "h"), F.lit(1 << 20)) / float(1 << 20)
-    times = taken.groupBy(F.col(id_col).alias("__mix_id"), F.col("h").alias("__mix_h")).agg(F.sum("taken").alias("__mix_taken"), F.sum("size").alias("__mix_size"), F.first("h").alias("h"))
-    times = times.select("__mix_id", "__mix_h", F.when(F.col("__mix_size") > 0, F.floor(F.col("__mix_taken") / F.col("__mix_size") + chance)).otherwise(1).cast("int").alias("__mix_times"))
-    times = kit.written(times, "times")
-    rows = docs.withColumn("__mix_hash", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
+    taken = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, with_hash=True).select("shard", "sid", F.col(id_col).alias("id"), "h", "size", "taken")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def cell(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("id", "ascending")])
+        return pa.table({"id": table["id"], "h": table["h"], "times": pa.array(whole(table["size"].to_pylist(), table["taken"].to_pylist()), pa.int32())})
+
+    times = taken.groupBy("shard", "sid").applyInArrow(cell, f"id {kind}, h long, times int")
+    times = kit.written(times.groupBy(F.col("id").alias("__mix_id"), F.col("h").alias("__mix_h")).agg(F.sum("times").alias("__mix_times"), F.count("h").alias("__mix_rows")), "times")
+    rows = docs.withColumn("__mix_hash", hashed(id_col, source_col, text_col))
     found = rows.join(times.hint("shuffle_hash"), (F.col("__mix_hash") == F.col("__mix_h")) & F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    return found.where(F.col("__mix_times") > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*docs.columns)
+    if times.where(F.col("__mix_rows") > 1).limit(1).count():
+        found = found.groupBy("__mix_id", "__mix_h").agg(F.max("__mix_times").alias("__mix_times"), F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__mix_row"))
+        found = found.select("__mix_row.*", "__mix_times")
+    return found.where(F.col("__mix_times") > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*docs.columns)
