@@ -5,14 +5,17 @@ repeats of a word (at distance 1 and 2, whatever the word) and the 3- and
 5-byte n-grams inside its words (a blank stands for either end of a word), plus
 one vector that every text has; a softmax over the two labels follows.  Vectors and output layer are trained on the driver by stochastic
 gradient descent in numpy over a bounded sample of labelled rows (`per_class`
-of each label, smallest hashes of the id first); the output bias is then moved
+of each label, smallest hashes of the id first, and of these as many as have
+`SAMPLE_BYTES` of features together); the output bias is then moved
 from the sample's odds to those of all labelled rows.  As the output is linear
 in the average, scoring needs one number a bucket: a fixed-size table is sent
 to the executors.
 
 Defined results: null and empty texts have only the shared vector; null ids
 and labels are never learnt from; an id with several labels counts with the
-largest; repeated rows are each scored; columns beside id and text are ignored.
+largest; rows of one id but other texts teach one of these texts, the same in
+every run; ids are of any type, and those of the labels are cast to it; repeated
+rows are each scored; columns beside id and text are ignored.
 With no labelled rows of both kinds the score is the base rate (0 if none).
 """
 
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stateforge.llm import kit
-from stateforge.llm.toxicity import labelled_sample
+from stateforge.llm.toxicity import labelled_sample, taught
 
 #: Buckets (the last one is the vector that every text has), sample bound, training parameters.
-BITS, DIM, PER_CLASS, EPOCHS, RATE, GAIN = 16, 8, 2000, 6, 0.3, 100.0
+BITS, DIM, PER_CLASS, SAMPLE_BYTES, EPOCHS, RATE, GAIN = 16, 8, 2500, 64 << 20, 6, 0.3, 100.0
 NGRAMS = (3, 5)
 
 
@@ -96,6 +99,18 @@ def bags(column: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Features and counts as bytes: how wide either is, then both."""
+    kinds = ["u1" if x.max(initial=0) < 1 << 8 else "u2" if x.max(initial=0) < 1 << 16 else "u4" for x in (ids, counts)]
+    return "".join(kinds).encode() + ids.astype(kinds[0]).tobytes() + counts.astype(kinds[1]).tobytes()
+
+
+def unpacked(data) -> tuple[np.ndarray, np.ndarray]:
+    wide = [int(x) for x in bytes(data[:4]).decode().split("u")[1:]]
+    n = (len(data) - 4) // sum(wide)
+    return np.frombuffer(data, f"u{wide[0]}", n, 4), np.frombuffer(data, f"u{wide[1]}", n, 4 + n * wide[0])
+
+
 def learn(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, *, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, gain: float = GAIN, seed: int = 7) -> Model:
     """Stochastic gradient descent, one text a step, with a linearly falling rate; `gain` scales the vectors' rate."""
     rng = np.random.default_rng(seed)
@@ -109,7 +124,7 @@ def learn(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
         for _ in range(epochs):
             for k in rng.permutation(len(texts)):
                 ids, counts = texts[k]
-                ids = np.append(ids, shared)
+                ids = np.append(ids.astype(np.uint32), shared)
                 part = np.append(counts, 1).astype(np.float32)
                 part /= part.sum()
                 hidden = part @ vectors[ids]
@@ -149,16 +164,9 @@ def scores(column: pa.Array, table: np.ndarray, bias: float, bits: int = BITS) -
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out=lambda i: kit.keep_out(i, 3, 1), per_class: int = PER_CLASS, bits: int = BITS) -> Model:
     """A model from the sampled labelled rows of `docs`; only their feature counts reach the driver."""
     sample, prior = labelled_sample(labels, label_col, id_col, held_out, per_class)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.concatenate([i, np.minimum(n, 0xFFFF)]).astype(np.uint16 if bits <= 16 else np.uint32).tobytes() for i, n in bags(batch.column(2), bits)], pa.binary())], ["_id", "_label", "_bag"])
-
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _bag binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    flat = [np.frombuffer(x.as_buffer(), np.uint16 if bits <= 16 else np.uint32).reshape(2, -1) for x in rows["_bag"]]
-    out = learn([(x[0], x[1]) for x in flat], rows["_label"].to_numpy().astype(float), prior, bits=bits)
-    del rows, flat
+    rows = taught(docs, sample, lambda texts: [packed(*x) for x in bags(texts, bits)], id_col, text_col, SAMPLE_BYTES)
+    out = learn([unpacked(x.as_buffer()) for x in rows["_set"]], rows["_label"].to_numpy().astype(float), prior, bits=bits)
+    del rows
     kit.release()
     return out
 

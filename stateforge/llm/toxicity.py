@@ -4,13 +4,16 @@ A text's features are the hashed words, neighbouring pairs and pairs one word
 apart that occur in it (lower case, ASCII punctuation parts words); presence
 counts, not frequency, so a long text isn't diluted.  Learning runs on the
 driver over a bounded sample of labelled rows (`per_class` of each label, the
-smallest hashes of the id first) with per-coordinate rates; L1 leaves few
-weights, and only these are broadcast.  The intercept is moved from the
+smallest hashes of the id first, and of these as many as have `SAMPLE_BYTES` of
+features together) with per-coordinate rates; L1 leaves few weights, and only
+these are broadcast.  The intercept is moved from the
 sample's odds to those of all labelled rows.
 
 Defined results: null and empty texts get the intercept's score; null ids and
 labels are never learnt from; an id with several labels counts with the
-largest; repeated rows are each scored; columns beside id and text are ignored.
+largest; rows of one id but other texts teach one of these texts, the same in
+every run; ids are of any type, and those of the labels are cast to it; repeated
+rows are each scored; columns beside id and text are ignored.
 With no labelled rows of both kinds the score is the base rate (0 if none).
 """
 
@@ -22,12 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stateforge.llm import kit
 
 #: Feature space, sample bound and FTRL parameters.
-BITS, PER_CLASS, EPOCHS = 20, 3000, 4
+BITS, PER_CLASS, SAMPLE_BYTES, EPOCHS = 20, 4000, 64 << 20, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.2
 
 
@@ -119,16 +123,31 @@ def labelled_sample(labels: DataFrame, label: str, id_col: str, held_out, per_cl
     return one(0).unionByName(one(1)), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out=lambda i: kit.keep_out(i, 4, 2), per_class: int = PER_CLASS) -> Weights:
-    """Weights from the sampled labelled rows of `docs`; only their feature sets reach the driver."""
-    sample, prior = labelled_sample(labels, label_col, id_col, held_out, per_class)
+def taught(docs: DataFrame, sample: DataFrame, pack, id_col: str, text_col: str, most: int) -> pa.Table:
+    """(_label, _set) of the sampled rows in the order of the hashes of their ids, as long as the sets have `most` bytes together (one row at least).
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    `pack` gives each text of a column a binary set.  The sets are written first,
+    so only what is within the bound comes to the driver.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in feature_sets(batch.column(2))], pa.binary())], ["_id", "_label", "_set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pack(batch.column(2)), pa.binary())], ["_id", "_label", "_set"])
 
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = found.select("_id", "_label", "_text").mapInArrow(pack, "_id long, _label int, _set binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
+    sample = sample.select(F.col("_id").try_cast(kind).alias("_id"), "_label")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_label", "_text")
+    rows = found.mapInArrow(run, f"_id {kind}, _label int, _set binary").groupBy("_id").agg(F.max("_label").alias("_label"), F.min("_set").alias("_set"))
+    rows = kit.written(rows.withColumn("_at", F.xxhash64("_id")), "sample")
+    line = W.orderBy("_at", "_id").rowsBetween(W.unboundedPreceding, -1)  # of 2 * per_class rows at most
+    inside = rows.select("_id", "_at", F.coalesce(F.sum(F.octet_length("_set")).over(line), F.lit(0)).alias("_before")).where(F.col("_before") < most)
+    return rows.join(F.broadcast(inside.select("_id")), "_id").orderBy("_at", "_id").select("_label", "_set").toArrow()
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out=lambda i: kit.keep_out(i, 4, 2), per_class: int = PER_CLASS) -> Weights:
+    """Weights from the sampled labelled rows of `docs`; only their feature sets reach the driver."""
+    sample, prior = labelled_sample(labels, label_col, id_col, held_out, per_class)
+    rows = taught(docs, sample, lambda texts: [x.tobytes() for x in feature_sets(texts)], id_col, text_col, SAMPLE_BYTES)
     out = learn([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["_set"]], rows["_label"].to_numpy().astype(float), prior)
     del rows
     kit.release()
