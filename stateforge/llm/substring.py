@@ -1,7 +1,8 @@
 """Substring dedup: sliding sentence spans.
 
 A text is cut into sentences: after a word that ends in . ! or ? (closing
-quotes and brackets may follow; one of a row of such words) and at line ends.  A sentence of more than
+quotes and brackets may follow), unless one of the two words before it does too,
+and at line ends.  A sentence of more than
 `LONG` words is cut further after the word of the least hash (of equal ones the
 last) of every `WINDOW` words of it, so that one very long sentence hides no
 repeat: no piece is longer than LONG words, and whether a word is a cut depends
@@ -15,8 +16,10 @@ joined over all documents, and the first place of each (smallest id, then
 position) keeps it; sentences covered by any span that is not at its first
 place are removed, with the white space after them.
 
-Only hashes of spans that occur twice come back to the texts, and counting is
-pre-aggregated before the shuffle, so a span that a third of all documents
+Only hashes of spans that occur twice come back to the texts.  Counts and first
+places are combined before their shuffle, and the first places of the spans that
+make a `HOT`th of all places or more (so HOT of them at most) are broadcast to
+the others, which need no shuffle then; so a span that a third of all documents
 share is no hot spot.
 
 Defined results: null and empty texts have no sentences and stay as they are;
@@ -39,6 +42,7 @@ from pyspark.sql import functions as F
 from stateforge.llm import kit
 
 RUN, LEAST_WORDS, LONG, WINDOW = 3, 16, 10, 7
+HOT = 1000
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b"\"')]}")] = True
 _STOPS = np.zeros(256, bool)
@@ -130,11 +134,16 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     only those that occur twice through to the shuffle that finds first places.
     """
     counted = kit.kept(all_spans(docs, id_col, text_col).groupBy("h").count().where(F.col("count") > 1).select("h"))
-    again = all_spans(docs, id_col, text_col, kit.Filter.of(counted, "h")).repartition("h")
+    again = kit.kept(all_spans(docs, id_col, text_col, kit.Filter.of(counted, "h")))
     counted.unpersist()
     first = again.groupBy("h").agg(F.min(F.struct("id", "at")).alias("_first"), F.count("at").alias("_n"))
-    first = first.where(F.col("_n") > 1).select(F.col("h").alias("_h"), "_first")
-    return again.join(first, F.col("h") == F.col("_h")).where(~F.struct("id", "at").eqNullSafe(F.col("_first"))).select("id", "at", "h")
+    first = kit.written(first.where(F.col("_n") > 1).select(F.col("h").alias("_h"), "_first", "_n"), "first")
+    many = max(2, (first.agg(F.sum("_n")).head()[0] or 0) // HOT)
+    hot, cold = first.where(F.col("_n") >= many), first.where(F.col("_n") < many)
+    same = F.col("h") == F.col("_h")
+    rest = again.join(F.broadcast(hot.select("_h")), same, "left_anti").join(cold.hint("shuffle_hash"), same)
+    found = again.join(F.broadcast(hot), same).unionByName(rest)
+    return found.where(~F.struct("id", "at").eqNullSafe(F.col("_first"))).select("id", "at", "h")
 
 
 def cut(text: str | None, marked: set[tuple[int, int]]) -> tuple[str | None, int, int, int]:
