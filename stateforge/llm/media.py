@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, KEY_EVERY, CHUNK_SAMPLES, TIMESCALE, CODEC = 192, 16, 64, 8000, b"raw "
-#: Boxes that hold boxes.
+#: Most boxes around a box (the format's own need 6), and boxes that hold boxes.
+DEEPEST = 32
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
 
@@ -128,11 +129,19 @@ def boxes(file: memoryview, start: int, stop: int) -> Iterator[tuple[bytes, int,
 
 
 def walk(file: memoryview, start: int, stop: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """All boxes below a range, parents first."""
-    for kind, a, b in boxes(file, start, stop):
+    """All boxes below a range, parents first; boxes nested more than DEEPEST times are an error."""
+    open_boxes = [(path, boxes(file, start, stop))]
+    while open_boxes:
+        path, inside = open_boxes[-1]
+        kind, a, b = next(inside, (None, 0, 0))
+        if kind is None:
+            open_boxes.pop()
+            continue
         yield (*path, kind), a, b
         if kind in NESTED:
-            yield from walk(file, a, b, (*path, kind))
+            if len(open_boxes) == DEEPEST:
+                raise Broken(f"boxes are nested more than {DEEPEST} times")
+            open_boxes.append(((*path, kind), boxes(file, a, b)))
 
 
 def probe(file: bytes) -> list[Track]:
@@ -161,6 +170,8 @@ def _track(view: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
     codec = next((kind for kind, _, _ in boxes(view, at + 8, end)), b"").decode("latin-1")
     at, _ = tables[b"stsz"]
     same, n = struct.unpack_from(">II", view, at + 4)
+    if same * n > len(view):
+        raise Broken("samples are longer than the file")
     sizes = np.full(n, same, np.int64) if same else _numbers(view, at + 12, n, ">u4")
     wide = b"co64" in tables
     at, _ = tables[b"co64" if wide else b"stco"]
@@ -170,8 +181,10 @@ def _track(view: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
     (count,) = struct.unpack_from(">I", view, at + 4)
     runs = _numbers(view, at + 8, 3 * count, ">u4").reshape(-1, 3)
     spread = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if (spread < 0).any() or spread.sum() != len(chunks):
+        raise Broken("chunks and their runs disagree")
     per_chunk = np.repeat(runs[:, 1], spread)
-    if per_chunk.sum() != n or len(per_chunk) != len(chunks):
+    if per_chunk.sum() != n:
         raise Broken("chunks and sizes disagree on the number of samples")
     first = np.append(0, np.cumsum(per_chunk))[:-1]
     before = np.append(0, np.cumsum(sizes))[:-1]
@@ -180,6 +193,8 @@ def _track(view: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
         at, _ = tables[b"stss"]
         (count,) = struct.unpack_from(">I", view, at + 4)
         keys = _numbers(view, at + 8, count, ">u4") - 1
+        if len(keys) and not 0 <= keys.min() <= keys.max() < n:
+            raise Broken("a keyframe is no sample")
     else:
         keys = np.arange(n)
     return Track(codec, int(scale), int(duration), sizes, offsets, keys)
@@ -210,21 +225,29 @@ def feature(track: Track) -> str:
     return f"{track.codec.strip()};{track.duration}/{track.timescale};samples={len(track.sizes)};keys={len(ranges)};first={ranges[0][0]}-{ranges[0][1]};ranges={hashlib.sha256(ranges.tobytes()).hexdigest()[:16]}"
 
 
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def ranged(track: Track) -> list[dict[str, int]]:
+    """The keyframes' byte ranges as rows."""
+    return [{"start": a, "end": b} for a, b in track.key_ranges().tolist()]
+
+
 def stored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_files: bool = False) -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[, media]) of every row."""
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, codec, seconds, keyframes[, media]) of every row; `keyframes` has their byte ranges."""
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_files
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, keyframes array<struct<start:long,end:long>>" + ", media binary" * with_files
     names = [x.split()[0] for x in fields.split(", ")]
 
     def one(text: str | None) -> tuple:
         file = mux(packed(text))
         track = probe(file)[0]
         back = payload(file, track)
-        row = (len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(track))
+        row = (len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature(track), track.codec, track.seconds, ranged(track))
         return (*row, file) if with_files else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), RANGES, pa.binary()]
         for batch in batches:
             for a in range(0, batch.num_rows, 512):  # files are as long as texts: few at a time
                 part = batch.slice(a, 512)
@@ -240,20 +263,18 @@ PROBED = "codec string, seconds double, samples long, keyframes array<struct<sta
 def probe_column(files: DataFrame, *, id_col: str, media_col: str) -> DataFrame:
     """(id, codec, seconds, samples, keyframes, error) of the first track of each stored file."""
     kind = files.schema[id_col].dataType.simpleString()
-    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
     def one(file: bytes | None) -> tuple:
         try:
             tracks = probe(file) if file else []
             if not tracks:
                 return None, None, None, None, "no file" if not file else "no track"
             t = tracks[0]
-            return t.codec, t.seconds, len(t.sizes), [{"start": int(a), "end": int(b)} for a, b in t.key_ranges()], None
-        except (Broken, IndexError) as e:
+            return t.codec, t.seconds, len(t.sizes), ranged(t), None
+        except (Broken, IndexError, MemoryError, OverflowError) as e:
             return None, None, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.float64(), pa.int64(), ranges, pa.string()]
+        types = [pa.string(), pa.float64(), pa.int64(), RANGES, pa.string()]
         for batch in batches:
             cols = list(zip(*(one(x.as_py()) for x in batch.column(1)), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["_id", "codec", "seconds", "samples", "keyframes", "error"])
