@@ -10,10 +10,12 @@ lie below its own k-th score, as the global one is no lower.  A last pass keeps
 what scores above the k-th value and, of those equal to it, each cell's k
 smallest ids; ties go to the smaller id.
 
-Defined results: vectors that are null, empty or hold null or non-finite components, and
-rows without id, take no part; a shorter vector counts as filled with zeros; a
-query's own id is no candidate for it; repeated rows are candidates (and
-queries) of their own; other columns are ignored.  Scores must fit 62 bits.
+Defined results: vectors that are null or hold null or non-finite components, and
+rows without id, take no part; nor do vectors of a length of 2**31 or more (after
+the scaling), whose scores might not fit 64 bits; a shorter vector counts as
+filled with zeros, an empty one is all zeros; a query's own id is no candidate
+for it; repeated rows are candidates (and queries) of their own; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -42,14 +44,14 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
         for batch in batches:
             ids, vecs, norms = [], [], []
             for i, v in zip(batch.column(0), batch.column(1), strict=True):
-                if not i.is_valid or not v.is_valid or v.values.null_count or not len(v.values):
+                if not i.is_valid or not v.is_valid or v.values.null_count:
                     continue
                 x = np.floor(scale * v.values.cast(pa.float64()).to_numpy(zero_copy_only=False))
                 if not np.isfinite(x).all():
                     continue
-                norm = float(np.sqrt((x * x).sum()))
-                if norm >= 2.0**62:
-                    raise ValueError("components are too large for 62-bit scores")
+                norm = float(np.linalg.norm(x))
+                if not norm < 2.0**31:
+                    continue
                 ids.append(i.as_py())
                 vecs.append(x.astype(np.int64).tobytes())
                 norms.append(norm)
