@@ -17,10 +17,12 @@ right; beyond a text's ends stands a blank token), and tanh.  The output is a
 softmax in two digits of the base: p(high | window) * p(low | window, high).
 Output biases begin at the corpus counts.
 
-Training reads every word of every document: in each of `ROUNDS` rounds every
-partition runs stochastic gradient descent in numpy over its share of its
-documents, from the same network, and the networks are averaged by words read,
-by a tree of sums on the executors.  What reaches the driver is the network:
+Training reads every word of every document.  A hash of its id and text deals a
+document to one of `ROUNDS` rounds and to a learner of about `LEARNER_WORDS`
+words in it, and orders them there; each learner runs stochastic gradient descent
+in numpy from the round's network, and the networks are averaged by words read,
+by a tree of sums on the executors.  So how a table is partitioned changes no
+more than the order of these sums.  What reaches the driver is the network:
 in the order of the square root of the number of distinct words.
 
 Defined results: null and empty texts have no words and score 0; repeated rows
@@ -30,6 +32,7 @@ table gives an empty result.  Scores are rounded to 6 digits.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -44,7 +47,7 @@ from stateforge.llm import kit
 #: The least base, and what follows from it; larger corpora have more (`base_of`).
 BASE, DIM, SIDE = 32, 16, 2
 TOKENS = BASE * BASE
-ROUNDS, BATCH, RATE = 2, 1024, 0.3
+ROUNDS, BATCH, RATE, LEARNER_WORDS = 2, 1024, 0.3, 1 << 21
 f4 = np.float32
 #: Rate of the vectors, which few words of a batch touch, against that of the rest.
 GAIN = f4(8)
@@ -219,30 +222,38 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
     return top, np.zeros(top.size, np.int64) if counts is None else counts, words
 
 
-def train(docs: DataFrame, top: Vocabulary, counts: np.ndarray, *, text_col: str = "text", rounds: int = ROUNDS) -> Network:
+def train(docs: DataFrame, top: Vocabulary, counts: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Network:
     """The network after `rounds` rounds; each document is read in one of them."""
     sc = docs.sparkSession.sparkContext
     net = Network.begin(counts)
+    learners = max(1, -(-int(counts.sum()) // (rounds * LEARNER_WORDS)))
+    place = F.xxhash64(F.lit(rounds), F.col(id_col), F.col(text_col))
+    dealt = docs.select(F.pmod(place, F.lit(rounds)).alias("turn"), F.pmod(F.shiftrightunsigned(place, 8), F.lit(learners)).alias("learner"), place.alias("place"), F.col(text_col).alias("text"))
     for turn in range(rounds):
         sent = sc.broadcast((top, net.flat))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             vocabulary, flat = sent.value
 
-            def rows() -> Iterator[np.ndarray]:
-                at = 0
+            def tokens() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+                """(learner, tokens, words of each text) of neighbouring rows."""
                 for batch in batches:
-                    mine = np.flatnonzero((np.arange(batch.num_rows) + at) % rounds == turn)
-                    at += batch.num_rows
-                    data, offsets = kit.text_bytes(batch.column(0).take(pa.array(mine)))
-                    for a, b in kit.chunks(offsets):
-                        h, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                        yield laid_out(vocabulary.tokens(h), bounds, vocabulary.size)[0]
-
-            flat, words = learned(flat, rows(), base=vocabulary.base)
-            yield pa.RecordBatch.from_arrays([pa.array([kit.pack(np.append(flat.astype(np.float64) * words, words))], pa.binary())], ["net"])
-
-        total = kit.tree_sum(docs.select(text_col).mapInArrow(run, "net binary"), "net", "f8")
+                    learner = batch.column(0).to_numpy()
+                    edges = [0, *(np.flatnonzero(np.diff(learner)) + 1).tolist(), len(learner)]
+                    for i, j in zip(edges[:-1], edges[1:], strict=True):
+                        data, offsets = kit.text_bytes(batch.column(1).slice(i, j - i))
+                        for a, b in kit.chunks(offsets):
+                            h, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                            yield int(learner[i]), vocabulary.tokens(h), np.diff(bounds)
+
+            for _, mine in itertools.groupby(tokens(), key=lambda x: x[0]):
+                _, held, sizes = zip(*mine, strict=True)
+                row = laid_out(np.concatenate(held), np.append(0, np.cumsum(np.concatenate(sizes))), vocabulary.size)[0]
+                learnt, words = learned(flat, iter([row]), base=vocabulary.base)
+                yield pa.RecordBatch.from_arrays([pa.array([kit.pack(np.append(learnt.astype(np.float64) * words, words))], pa.binary())], ["net"])
+
+        read = dealt.where(F.col("turn") == turn).repartition("learner").sortWithinPartitions("learner", "place")
+        total = kit.tree_sum(read.select("learner", "text").mapInArrow(run, "net binary"), "net", "f8")
         if total is not None and total[-1] > 0:
             net = Network((total[:-1] / total[-1]).astype(f4), top.base)
     return net
@@ -279,7 +290,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     which meets its count; then each group's rows come together.
     """
     top, counts, words = vocabulary(docs, text_col)
-    net = train(docs, top, counts, text_col=text_col)
+    net = train(docs, top, counts, id_col=id_col, text_col=text_col)
     sent = docs.sparkSession.sparkContext.broadcast((top, net.flat, np.log(np.maximum(counts, 1))))
     kind = docs.schema[id_col].dataType.simpleString()
 
