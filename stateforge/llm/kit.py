@@ -59,10 +59,11 @@ def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: a cut of the lineage that survives lost executors.
 
     `compact` gathers what comes from a shuffle into two files a core at most;
-    not for what comes straight from a scan, whose tasks are heavy.
+    not for what comes straight from a scan, whose tasks are heavy, nor where the
+    number of cores changes with the load.
     """
     spark = df.sparkSession
-    if compact:
+    if compact and spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
         df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
