@@ -160,6 +160,7 @@ def _scan(docs: DataFrame, words: int, emit, schema: str) -> DataFrame:
             for a in range(0, batch.num_rows, SLICE):
                 part = batch.slice(a, SLICE)
                 yield pa.RecordBatch.from_arrays(emit(part.column(0), list(shingle_sets(part.column(1), words))), names)
+        kit.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -198,6 +199,8 @@ def _meeting(rows: DataFrame, payload: str, settle, schema: str) -> DataFrame:
                 held.append((v, member, asks, n, np.frombuffer(x.as_buffer(), kind).copy()))
         if held:
             yield out()
+        here, held = None, []
+        kit.release()
 
     met = rows.select("g", "place", "v", "member", "asks", "n", payload).repartition("g", "place").sortWithinPartitions("g", "place", "v")
     return met.mapInArrow(run, schema)
@@ -264,6 +267,11 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, with_node: bool = False) -> DataFrame:
     """(id, n_shingles, component_id[, node]) of every row; `node` names its set."""
+    with kit.small_batches(docs.sparkSession, SLICE):
+        return _joined(docs, id_col, text_col, words, percent, with_node)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, with_node: bool) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -286,6 +294,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
                     sets, n = [], 0
         add()
         yield pa.RecordBatch.from_arrays([pa.array([kit.pack(counters)], pa.binary())], ["counters"])
+        sets = []
+        kit.release()
 
     counters = kit.tree_sum(texts.select("text").mapInArrow(count, "counters binary"), "counters", "u4")
     counted = spark.sparkContext.broadcast(np.zeros(1 << COUNTERS, np.uint16) if counters is None else np.minimum(counters, 0xFFFF).astype(np.uint16))

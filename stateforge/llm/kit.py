@@ -75,6 +75,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, rows go to Python and into the cache by so many: where rows are texts or sets, a default batch of them is large in every buffer it passes."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.inMemoryColumnarStorage.batchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, else as it is (a shuffle join, split on skew by AQE)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -119,7 +133,7 @@ def tree_sum(df: DataFrame, column: str, dtype: str, fan_in: int = 64, combine=n
 
 
 def release() -> None:
-    """Gives the driver's memory of dropped tables and arrays back to the system."""
+    """Gives the memory of dropped tables and arrays back to the system: on the driver, or at the end of a task by its Python worker, which stays."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
