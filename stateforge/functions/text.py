@@ -67,6 +67,14 @@ def shingles(words: Column, size: int = 5) -> Column:
     return F.when(F.size(words) >= size, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(words: Column, size: int = 5) -> Column:
+    """The distinct 64-bit hashes of what `shingles` gives, without joining words."""
+    n = F.greatest(F.size(words) - (size - 1), F.lit(0))
+    places = F.arrays_zip(*(F.slice(words, F.lit(k + 1), n).alias(f"w{k}") for k in range(size)))
+    runs = F.transform(places, lambda x: F.xxhash64(*(x[f"w{k}"] for k in range(size))))
+    return F.when(F.size(words) >= size, F.array_distinct(runs)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets as arrays: both empty 1, one empty 0."""
     common = F.size(F.array_intersect(a, b))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stateforge.functions import text
+from stateforge.sources import shared
 
 # The columns that a field may come under, in order of preference.
 ALIASES = {
@@ -68,19 +69,20 @@ def permuted(df: DataFrame, order: list[str], seed: int) -> DataFrame:
     return ranked(df, [F.xxhash64(F.lit(seed), *order), *map(F.col, order)], "position")
 
 
-def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0, sample: int = 4096) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
     """`df` with a gapless global rank by ascending columns, without one task for all rows.
 
-    Rows fall into ranges between bounds from a bounded sample of keys (the
-    smallest hashes), are numbered inside their range, and the ranges' sizes, a
-    small table, give the offsets.  The bounds are literals, so a range depends
-    on the row alone, however often or where the plan is run.
+    `df` is written once.  Rows fall into as many ranges as there are shuffle
+    partitions, between bounds from a bounded sample of keys (the smallest hashes),
+    are numbered inside their range, and the ranges' sizes, a small table, give
+    the offsets.  The bounds are literals, so a range depends on the row alone.
     """
     spark = df.sparkSession
+    df = shared.table(df)
     keyed = df.select(*(c.alias(f"k{i}") for i, c in enumerate(order)))
-    names = keyed.columns
-    rows = keyed.orderBy(F.xxhash64(*names)).limit(sample).orderBy(*names).collect()
-    n = min(200, int(spark.conf.get("spark.sql.shuffle.partitions")), len(rows))
+    names, parts = keyed.columns, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed.orderBy(F.xxhash64(*names)).limit(max(4096, 20 * parts)).orderBy(*names).collect()
+    n = min(parts, len(rows))
     bounds = [rows[len(rows) * k // n] for k in range(1, n)]
     key = F.struct(*(c.alias(k) for c, k in zip(order, names, strict=True)))
     range_of = F.lit(0)
@@ -94,6 +96,32 @@ def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0, sample
     return numbered.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn(name, (F.col("_before") + F.col("_r") - 1 + first).cast("long")).drop("_p", "_q", "_r", "_before")
 
 
+#: Rows of a block of `running`.
+BLOCK = 1 << 16
+
+
+def running(df: DataFrame, position: str, what: dict[str, tuple[str, Column]]) -> DataFrame:
+    """`df` with running "sum" or "max" columns over all rows before, by a gapless position from 0; null where there are none.
+
+    A block of BLOCK rows is one window, and the blocks' totals, a row for each
+    BLOCK rows, make the start of each.
+    """
+    both = {"sum": (F.sum, lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y)), "max": (F.max, F.greatest)}
+    inside, ahead = W.partitionBy("_block").orderBy(position).rowsBetween(W.unboundedPreceding, -1), W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_block", F.floor(F.col(position) / BLOCK))
+    totals = rows.groupBy(F.col("_block").alias("_at")).agg(*(both[kind][0](c).alias(f"_{name}") for name, (kind, c) in what.items()))
+    starts = totals.select("_at", *(both[kind][0](f"_{name}").over(ahead).alias(f"_{name}") for name, (kind, _) in what.items()))
+    here = rows.withColumns({name: both[kind][0](c).over(inside) for name, (kind, c) in what.items()})
+    out = here.join(F.broadcast(starts), F.col("_block") == F.col("_at"))
+    return out.withColumns({name: both[kind][1](F.col(f"_{name}"), F.col(name)) for name, (kind, _) in what.items()}).drop("_block", "_at", *(f"_{name}" for name in what))
+
+
+def last_of_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key by an order, as a keyed map keeps it; without the order column."""
+    kept = [c for c in df.columns if c != order]
+    return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*kept), F.col(order)).alias("_row")).select("_row.*")
+
+
 def shuffled_like_python(n: int, seed: int) -> list[int]:
     """The order in which Python's random.Random(seed).shuffle leaves n rows (for exact parity on data that fits a driver)."""
     order = list(range(n))

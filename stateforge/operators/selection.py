@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stateforge.functions import text
-from stateforge.operators.prepare import ranked
+from stateforge.operators import prepare
+from stateforge.sources import shared
 
 # Strategies, groups and statuses in their default priority.
 STRATEGIES = ("dense", "random_budget", "verifier_filtered", "vfs")
@@ -60,15 +58,19 @@ def tiebreak(strategy: str, seed: int) -> Column:
     return text.stable_hash(rollout_id=text.json_string(F.col("rollout_id")), seed=F.lit(str(seed)), strategy=F.lit(f'"{strategy}"'))
 
 
-def decisions(rollouts: DataFrame, verifications: DataFrame, prompts: DataFrame, *, strategy: str, seed: int, max_new_tokens: int, teacher_max_length: int) -> DataFrame:
-    """A row a rollout with what the order needs; missing verifications or prompts are an error."""
-    for other, key, what in ((verifications, "rollout_id", "verification"), (prompts, "sample_id", "prompt")):
-        lost = rollouts.join(other, key, "left_anti").select(key).limit(1).collect()
+def decisions(rollouts: DataFrame, verifications: DataFrame, prompts: DataFrame, *, strategy: str, seed: int, max_new_tokens: int, teacher_max_length: int, order: str | None = None) -> DataFrame:
+    """A row a rollout with what the order needs, written once; missing verifications or prompts are an error.  Of a rollout's verifications and a sample's prompts the last by `order` (without one they are unique)."""
+    if order:
+        verifications, prompts = prepare.last_of_key(verifications, "rollout_id", order), prepare.last_of_key(prompts, "sample_id", order)
+    found = verifications.select("rollout_id", F.col("status").alias("verifier_status"), "extracted_answer", F.lit(True).alias("_verified"))
+    asked = prompts.select("sample_id", "subject", "difficulty", F.lit(True).alias("_asked"))
+    verified = shared.table(rollouts.join(found, "rollout_id", "left").join(asked, "sample_id", "left"))
+    for mark, key, what in (("_verified", "rollout_id", "verification"), ("_asked", "sample_id", "prompt")):
+        lost = verified.where(F.col(mark).isNull()).select(key).limit(1).collect()
         if lost:
             raise KeyError(f"missing {what} for {lost[0][0]}")
-    verified = rollouts.join(verifications.select("rollout_id", F.col("status").alias("verifier_status"), "extracted_answer"), "rollout_id")
-    rows = verified.join(state_groups(verified), "sample_id").join(prompts.select("sample_id", "subject", "difficulty"), "sample_id")
-    return rows.select(
+    rows = verified.join(state_groups(verified), "sample_id")
+    decided = rows.select(
         "rollout_id",
         "sample_id",
         "candidate_index",
@@ -83,6 +85,7 @@ def decisions(rollouts: DataFrame, verifications: DataFrame, prompts: DataFrame,
         F.lit(strategy).alias("strategy"),
         tiebreak(strategy, seed).alias("stable_tiebreak"),
     )
+    return shared.table(decided)
 
 
 def _rank_of(c: Column, priority: list[str]) -> Column:
@@ -117,51 +120,62 @@ def order_columns(df: DataFrame, strategy: str, *, status_priority=STATUSES, gro
     then = inside if strategy == "vfs" else ["_status", "truncated", "estimated_teacher_tokens", "stable_tiebreak", "rollout_id"]
     if not stratify_by:
         return df, [F.col(c) for c in ("wave", "_group", *then)]
-    df = df.withColumn("turn", F.row_number().over(W.partitionBy("wave", "_group", *stratify_by).orderBy(*then)) - 1)
+    # places inside strata, which a few of may hold most rows: a global rank less that of the stratum's first
+    strata = ["wave", "_group", *stratify_by]
+    df = prepare.ranked(df, [F.col(c) for c in (*strata, *then)], "_place")
+    first = df.groupBy(*strata).agg(F.min("_place").alias("_first"))
+    same = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_f.{c}")) for c in strata]
+    df = df.alias("_r").join(first.alias("_f"), same).select("_r.*", (F.col("_place") - F.col("_first")).alias("turn")).drop("_place")
     return df, [F.col(c) for c in ("wave", "_group", "turn", *stratify_by)]
 
 
 def ordered(df: DataFrame, strategy: str, **options) -> DataFrame:
     """The considered candidates with `position` from 0 in the strategy's order."""
     rows, order = order_columns(df, strategy, **options)
-    return ranked(rows, order, "position").drop("_status", "_group", "wave", "turn")
+    return prepare.ranked(rows, order, "position").drop("_status", "_group", "wave", "turn")
 
 
 def greedy(df: DataFrame, budget: int, *, tokens: str = "estimated_teacher_tokens", position: str = "position") -> DataFrame:
     """`position`, selected, selection_rank, budget_before, budget_after: takes by position what still fits, and goes on after what doesn't.
 
-    Whether a row fits depends on all choices before it, so a running sum can't
-    say it.  Rows too large for what is left are skipped, so no two passes are
-    needed: one stream of (position, tokens) in order, a few numbers of state.
-    Only these two narrow columns meet in one sorted partition, and Python keeps
-    nothing of them; wide rows are joined back by position.
+    Up to the first row that doesn't fit all are taken: a running sum finds it.
+    What is left then is less than that row's tokens, so few can follow: of rows of
+    t tokens only the first (left div t) after it come into question, `left` times
+    its logarithm rows in all, whatever the table's size.  These are folded on the
+    driver, and running sums over all rows give the ranks and budgets.
     """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, rank = budget, 0
-        for batch in batches:
-            chosen, ranks, before, after = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                fits = t <= left
-                before.append(left)
-                if fits:
-                    left -= t
-                    rank += 1
-                chosen.append(fits)
-                ranks.append(rank if fits else None)
-                after.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.bool_()), pa.array(ranks, pa.int64()), pa.array(before, pa.int64()), pa.array(after, pa.int64())], ["position", "selected", "selection_rank", "budget_before", "budget_after"])
-
-    line = df.select(F.col(position).cast("long").alias("position"), F.col(tokens).cast("long").alias("tokens")).repartition(1).sortWithinPartitions("position")
-    return line.mapInArrow(fold, "position long, selected boolean, selection_rank long, budget_before long, budget_after long")
+    line = shared.table(df.select(F.col(position).cast("long").alias("position"), F.col(tokens).cast("long").alias("tokens")))
+    summed = prepare.running(line, "position", {"_sum": ("sum", F.col("tokens"))})
+    over = summed.where(F.coalesce("_sum", F.lit(0)) + F.col("tokens") > budget).agg(F.min(F.struct("position", F.coalesce("_sum", F.lit(0)).alias("used")))).head()[0]
+    chosen = F.lit(True)
+    if over is not None:
+        left = budget - over["used"]
+        open_rows = line.where((F.col("position") > over["position"]) & F.col("tokens").between(1, left))
+        # first the rows of each block that could be among the first of their size, then of these
+        for part in ([F.floor(F.col("position") / prepare.BLOCK)], []):
+            nth = F.row_number().over(W.partitionBy("tokens", *part).orderBy("position"))
+            open_rows = open_rows.withColumn("_nth", nth).where(F.col("_nth") * F.col("tokens") <= left).drop("_nth")
+        picks = []
+        for row in open_rows.orderBy("position").toLocalIterator():
+            if row.tokens <= left:
+                picks.append((row.position,))
+                left -= row.tokens
+        picked = df.sparkSession.createDataFrame(picks, "_pick long")
+        line = line.join(F.broadcast(picked), F.col("position") == F.col("_pick"), "left")
+        chosen = (F.col("position") < over["position"]) | (F.col("tokens") == 0) & (F.col("position") > over["position"]) | F.col("_pick").isNotNull()
+    line = line.withColumn("selected", chosen)
+    taken = F.when(F.col("selected"), F.col("tokens")).otherwise(0)
+    out = prepare.running(line, "position", {"_used": ("sum", taken), "_count": ("sum", F.col("selected").cast("long"))})
+    before = F.lit(budget).cast("long") - F.coalesce("_used", F.lit(0))
+    return out.select("position", "selected", F.when(F.col("selected"), F.coalesce("_count", F.lit(0)) + 1).alias("selection_rank"), before.alias("budget_before"), (before - taken).alias("budget_after"))
 
 
 def select(rows: DataFrame, *, strategy: str, ratio: float = 1.0, tokens: int | None = None, **options) -> DataFrame:
     """Every row of `decisions` with its choice, reason and budget."""
     eligible = rows.where(F.col("status") == "success")
     dense = eligible.agg(F.coalesce(F.sum("estimated_teacher_tokens"), F.lit(0))).head()[0]
-    order = ordered(eligible, strategy, **options)
-    chosen = order.select("rollout_id", "position").join(greedy(order, budget_of(dense, strategy, ratio=ratio, tokens=tokens)), "position").drop("position")
+    order = shared.table(ordered(eligible, strategy, **options).select("rollout_id", "position", "estimated_teacher_tokens"))
+    chosen = order.drop("estimated_teacher_tokens").join(greedy(order, budget_of(dense, strategy, ratio=ratio, tokens=tokens)), "position").drop("position")
     rest = "verifier_status_filtered" if strategy == "verifier_filtered" else "not_selected"
     reason = F.when(F.col("status") != "success", "upstream_rollout_failed").when(F.col("selected").isNull(), rest).when(F.col("selected"), f"selected_by_{strategy}").otherwise("teacher_token_budget_exceeded")
     out = rows.join(chosen, "rollout_id", "left").withColumn("selection_reason", reason)

@@ -7,7 +7,7 @@ import inspect
 import json
 import sys
 
-STAGES = ("doctor", "budget", "prepare", "audit", "rollouts", "verify", "select", "annotate", "view", "evaluate", "compare", "failures", "cost", "promote")
+STAGES = ("doctor", "budget", "prepare", "audit", "rollouts", "verify", "select", "annotate", "view", "evaluate", "compare", "failures", "cost", "promote", "import_eval", "fetch_eval", "train", "audit_sparse_kl", "report", "merge", "benchmark")
 
 
 def value(s: str):

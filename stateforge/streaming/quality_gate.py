@@ -1,4 +1,4 @@
-"""Extension (the reference has no streams): the rollout quality gate over shards as they arrive."""
+"""The rollout quality gate over shards as they arrive."""
 
 from __future__ import annotations
 
