@@ -372,10 +372,11 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     family = kit.kept(family.select("v", "n", "part", F.coalesce(F.xxhash64("part"), F.col("f")).alias("f")))
     held.append(family)
     pieces = F.ceil(F.greatest(F.count("v") / GROUP, F.sum("n") / TOKENS))
-    cut = family.join(family.groupBy("f").agg(pieces.alias("pieces")).where("pieces > 1").hint("shuffle_hash"), "f", "left")
-    cut = cut.withColumn("step", F.when(F.col("pieces").isNull(), 0).otherwise(F.floor(F.log("n") * 100)))
-    chunks = cut.where("pieces > 1").groupBy("f", "step").agg(pieces.alias("chunks"))
-    cut = cut.join(chunks.hint("shuffle_hash"), ["f", "step"], "left")
+    # of nodes / GROUP rows at most: broadcast while few, so that a large family needn't meet in one task
+    many = kit.bounded_broadcast(family.groupBy("f").agg(pieces.alias("pieces")).where("pieces > 1"), BROADCAST_ROWS)
+    cut = family.join(many, "f", "left").withColumn("step", F.when(F.col("pieces").isNull(), 0).otherwise(F.floor(F.log("n") * 100)))
+    chunks = kit.bounded_broadcast(cut.where("pieces > 1").groupBy("f", "step").agg(pieces.alias("chunks")), BROADCAST_ROWS)
+    cut = cut.join(chunks, ["f", "step"], "left")
     member = kit.written(cut.select("v", "n", "part", F.xxhash64("f", "step", F.pmod(F.xxhash64("v"), F.coalesce("chunks", F.lit(1)))).alias("g")), "member")
 
     # who asks whom (joins are hinted: one plan at every size, rather than broadcasts as long as a side is small)
