@@ -69,13 +69,11 @@ def permuted(df: DataFrame, order: list[str], seed: int) -> DataFrame:
     return ranked(df, [F.xxhash64(F.lit(seed), *order), *map(F.col, order)], "position")
 
 
-def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
-    """`df` with a gapless global rank by ascending columns, without one task for all rows.
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """`df`, written once, with its range `_p`: ascending in `order`, as many as there are shuffle partitions.
 
-    `df` is written once.  Rows fall into as many ranges as there are shuffle
-    partitions, between bounds from a bounded sample of keys (the smallest hashes),
-    are numbered inside their range, and the ranges' sizes, a small table, give
-    the offsets.  The bounds are literals, so a range depends on the row alone.
+    The bounds come from a bounded sample of keys (the smallest hashes) and are
+    literals, so a range depends on the row alone.
     """
     spark = df.sparkSession
     df = shared.table(df)
@@ -89,11 +87,37 @@ def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0) -> Dat
     if bounds:
         literals = F.array(*(F.struct(*(F.lit(b[k]).cast(keyed.schema[k].dataType).alias(k) for k in names)) for b in bounds))
         range_of = F.size(F.filter(literals, lambda b: b <= key))
-    placed = df.withColumn("_p", range_of)
+    return df.withColumn("_p", range_of)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
+    """`df` with a gapless global rank by ascending columns, without one task for all rows.
+
+    Rows are numbered inside their range, and the ranges' sizes, a small table, give
+    the offsets.  They meet null-safely: of an equality the optimizer would infer the
+    range's expression for the sizes, which have not its columns.
+    """
+    placed = in_ranges(df, order)
     numbered = placed.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     sizes = placed.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return numbered.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn(name, (F.col("_before") + F.col("_r") - 1 + first).cast("long")).drop("_p", "_q", "_r", "_before")
+    return numbered.join(F.broadcast(offsets), F.col("_p").eqNullSafe(F.col("_q"))).withColumn(name, (F.col("_before") + F.col("_r") - 1 + first).cast("long")).drop("_p", "_q", "_r", "_before")
+
+
+def places(df: DataFrame, strata: list[str], then: list[str], name: str) -> DataFrame:
+    """`df` with a row's place from 0 in its stratum, by `then`; a stratum that holds most rows is no hot spot.
+
+    A range numbers its own rows.  Only the first stratum of a range can go back to
+    earlier ranges, so what is carried over is a row a range at most.
+    """
+    placed, here = in_ranges(df, [F.col(c) for c in (*strata, *then)]), W.partitionBy("_p")
+    numbered = placed.withColumn("_r", F.row_number().over(here.orderBy(*strata, *then))).withColumn("_s", F.rank().over(here.orderBy(*strata)))
+    sizes = placed.groupBy(F.col("_p").alias("_q"), *strata).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*strata).orderBy("_q").rowsBetween(W.unboundedPreceding, -1))
+    carried = sizes.select("_q", earlier.alias("_carried")).where(F.col("_carried").isNotNull())
+    out = numbered.join(F.broadcast(carried), F.col("_p").eqNullSafe(F.col("_q")), "left")
+    place = F.col("_r") - F.col("_s") + F.when(F.col("_s") == 1, F.coalesce("_carried", F.lit(0))).otherwise(0)
+    return out.withColumn(name, place.cast("long")).drop("_p", "_q", "_r", "_s", "_carried")
 
 
 #: Rows of a block of `running`.

@@ -41,7 +41,7 @@ def state_groups(verified: DataFrame) -> DataFrame:
     passed = F.col("verifier_status") == "pass"
     answer = F.nullif(F.lower(text.strip(F.col("extracted_answer"))), F.lit(""))
     some, every = F.bool_or(passed), F.bool_and(passed)
-    unsure = F.bool_or(F.col("verifier_status") == "unknown") | (F.count_distinct(answer) > 1)
+    unsure = F.bool_or(F.col("verifier_status") == "unknown") | F.coalesce(F.min(answer) != F.max(answer), F.lit(False))
     kind = F.when(some & ~every, "boundary").when(every, "solved").when(unsure, "uncertain").otherwise("failed")
     return verified.groupBy("sample_id").agg(kind.alias("group_type"))
 
@@ -96,7 +96,7 @@ def _rank_of(c: Column, priority: list[str]) -> Column:
     return out
 
 
-def order_columns(df: DataFrame, strategy: str, *, status_priority=STATUSES, group_priority=GROUPS, stratify_by=STRATA) -> tuple[DataFrame, list[Column]]:
+def order_columns(df: DataFrame, strategy: str, *, status_priority=STATUSES, group_priority=GROUPS, stratify_by=STRATA) -> tuple[DataFrame, list[str]]:
     """The candidates that the strategy considers, with the columns that order them.
 
     Waves: each sample's candidates are ranked, and all first ones come before
@@ -109,9 +109,9 @@ def order_columns(df: DataFrame, strategy: str, *, status_priority=STATUSES, gro
         raise ValueError(f"stratify_by must be among {STRATA}")
     statuses, groups = permutation(status_priority, STATUSES, "status_priority"), permutation(group_priority, GROUPS, "group_priority")
     if strategy == "dense":
-        return df, [F.col("rollout_id")]
+        return df, ["rollout_id"]
     if strategy == "random_budget":
-        return df, [F.col("stable_tiebreak"), F.col("rollout_id")]
+        return df, ["stable_tiebreak", "rollout_id"]
     if strategy == "verifier_filtered":
         df = df.where(F.col("verifier_status").isin("pass", "unknown"))
     df = df.withColumn("_status", _rank_of(F.col("verifier_status"), statuses)).withColumn("_group", _rank_of(F.col("group_type"), groups) if strategy == "vfs" else F.lit(0))
@@ -119,20 +119,14 @@ def order_columns(df: DataFrame, strategy: str, *, status_priority=STATUSES, gro
     df = df.withColumn("wave", F.row_number().over(W.partitionBy("sample_id").orderBy(*inside)) - 1)
     then = inside if strategy == "vfs" else ["_status", "truncated", "estimated_teacher_tokens", "stable_tiebreak", "rollout_id"]
     if not stratify_by:
-        return df, [F.col(c) for c in ("wave", "_group", *then)]
-    # places inside strata, which a few of may hold most rows: a global rank less that of the stratum's first
-    strata = ["wave", "_group", *stratify_by]
-    df = prepare.ranked(df, [F.col(c) for c in (*strata, *then)], "_place")
-    first = df.groupBy(*strata).agg(F.min("_place").alias("_first"))
-    same = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_f.{c}")) for c in strata]
-    df = df.alias("_r").join(first.alias("_f"), same).select("_r.*", (F.col("_place") - F.col("_first")).alias("turn")).drop("_place")
-    return df, [F.col(c) for c in ("wave", "_group", "turn", *stratify_by)]
+        return df, ["wave", "_group", *then]
+    return prepare.places(df, ["wave", "_group", *stratify_by], then, "turn"), ["wave", "_group", "turn", *stratify_by]
 
 
 def ordered(df: DataFrame, strategy: str, **options) -> DataFrame:
     """The considered candidates with `position` from 0 in the strategy's order."""
     rows, order = order_columns(df, strategy, **options)
-    return prepare.ranked(rows, order, "position").drop("_status", "_group", "wave", "turn")
+    return prepare.ranked(rows, [F.col(c) for c in order], "position").drop("_status", "_group", "wave", "turn")
 
 
 def greedy(df: DataFrame, budget: int, *, tokens: str = "estimated_teacher_tokens", position: str = "position") -> DataFrame:
@@ -156,10 +150,10 @@ def greedy(df: DataFrame, budget: int, *, tokens: str = "estimated_teacher_token
             nth = F.row_number().over(W.partitionBy("tokens", *part).orderBy("position"))
             open_rows = open_rows.withColumn("_nth", nth).where(F.col("_nth") * F.col("tokens") <= left).drop("_nth")
         picks = []
-        for row in open_rows.orderBy("position").toLocalIterator():
-            if row.tokens <= left:
-                picks.append((row.position,))
-                left -= row.tokens
+        for row in open_rows.orderBy("position").toArrow().to_pylist():
+            if row["tokens"] <= left:
+                picks.append((row["position"],))
+                left -= row["tokens"]
         picked = df.sparkSession.createDataFrame(picks, "_pick long")
         line = line.join(F.broadcast(picked), F.col("position") == F.col("_pick"), "left")
         chosen = (F.col("position") < over["position"]) | (F.col("tokens") == 0) & (F.col("position") > over["position"]) | F.col("_pick").isNotNull()
@@ -174,7 +168,10 @@ def select(rows: DataFrame, *, strategy: str, ratio: float = 1.0, tokens: int |
     """Every row of `decisions` with its choice, reason and budget."""
     eligible = rows.where(F.col("status") == "success")
     dense = eligible.agg(F.coalesce(F.sum("estimated_teacher_tokens"), F.lit(0))).head()[0]
-    order = shared.table(ordered(eligible, strategy, **options).select("rollout_id", "position", "estimated_teacher_tokens"))
+    considered, by = order_columns(eligible.drop("candidate_index", "extracted_answer", "strategy", "status"), strategy, **options)
+    wanted = ["rollout_id", "estimated_teacher_tokens"]
+    considered = considered.select(*dict.fromkeys([*wanted, *by]))
+    order = shared.table(prepare.ranked(considered, [F.col(c) for c in by], "position").select(*wanted, "position"))
     chosen = order.drop("estimated_teacher_tokens").join(greedy(order, budget_of(dense, strategy, ratio=ratio, tokens=tokens)), "position").drop("position")
     rest = "verifier_status_filtered" if strategy == "verifier_filtered" else "not_selected"
     reason = F.when(F.col("status") != "success", "upstream_rollout_failed").when(F.col("selected").isNull(), rest).when(F.col("selected"), f"selected_by_{strategy}").otherwise("teacher_token_budget_exceeded")

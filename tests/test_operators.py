@@ -25,6 +25,18 @@ def test_ranked_is_gapless(spark):
     assert sorted((r.x, r.position) for r in prepare.ranked(df, [F.col("x")], "position").collect()) == [(i, i) for i in range(101)]
 
 
+def test_places_in_strata_of_any_size(spark):
+    """Most rows are of one stratum, which spans all ranges; nulls are a stratum too."""
+    rows = [(None if i % 11 == 0 else "b" if i % 7 == 0 else "a", 1 if i % 50 == 0 else 0, i * 389 % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "s string, w int, x long")
+    seen, want = {}, {}
+    for s, w, x in sorted(rows, key=lambda r: r[2]):
+        want[x] = seen.get((s, w), 0)
+        seen[s, w] = want[x] + 1
+    assert {r.x: r.place for r in prepare.places(df, ["w", "s"], ["x"], "place").collect()} == want
+    assert prepare.places(df.limit(0), ["w", "s"], ["x"], "place").count() == 0
+
+
 def test_near_edges(spark):
     train = spark.createDataFrame([("s1", 1, "a b c d e f g h i"), ("s2", 2, " "), ("s3", 3, "x y"), ("s4", 4, "one two three four five")], "sample_id string, row long, text string")
     evals = spark.createDataFrame([("e1", 0, ""), ("e2", 1, "a b c d e f g h j"), ("e3", 2, "a b c d e f g h j k"), ("e4", 3, "a b c d e f g h j"), ("e5", 4, "x y"), ("e6", 5, "X  Y")], "eval_id string, ordinal long, text string")
