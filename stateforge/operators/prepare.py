@@ -69,39 +69,38 @@ def permuted(df: DataFrame, order: list[str], seed: int) -> DataFrame:
     return ranked(df, [F.xxhash64(F.lit(seed), *order), *map(F.col, order)], "position")
 
 
-def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """`df`, written once, with its range `_p`: ascending in `order`, as many as there are shuffle partitions.
+#: Rows that one task numbers or adds up without more ado: of a table that is one range, and of a block of `running`.
+BLOCK = 1 << 16
+
+
+def in_ranges(df: DataFrame, order: list[Column], within: list[Column] | None = None, cut: bool = True) -> DataFrame:
+    """A table of `df` with each row's range `_p`, ascending in `order`, and its place `_r` in it, from 0, by `within` (or the order).
 
-    The bounds come from a bounded sample of keys (the smallest hashes) and are
-    literals, so a range depends on the row alone.
+    A range exchange finds the bounds and searches them, and a range's task numbers
+    its own rows; both are stored, so they are settled once.  The exchange reads its
+    input twice (for a sample, then for good): what is dear to compute is cut first,
+    and then a table of at most BLOCK rows is one range as it is.
     """
-    spark = df.sparkSession
-    df = shared.table(df)
-    keyed = df.select(*(c.alias(f"k{i}") for i, c in enumerate(order)))
-    names, parts = keyed.columns, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.orderBy(F.xxhash64(*names)).limit(max(4096, 20 * parts)).orderBy(*names).collect()
-    n = min(parts, len(rows))
-    bounds = [rows[len(rows) * k // n] for k in range(1, n)]
-    key = F.struct(*(c.alias(k) for c, k in zip(order, names, strict=True)))
-    range_of = F.lit(0)
-    if bounds:
-        literals = F.array(*(F.struct(*(F.lit(b[k]).cast(keyed.schema[k].dataType).alias(k) for k in names)) for b in bounds))
-        range_of = F.size(F.filter(literals, lambda b: b <= key))
-    return df.withColumn("_p", range_of)
-
-
-def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
+    if cut:
+        df = shared.table(df)
+        if df.limit(BLOCK + 1).count() <= BLOCK:  # one range holds them
+            return df.withColumn("_p", F.lit(0)).withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*(within or order))) - F.lit(1).cast("long"))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*(within or order))
+    bits = 33  # fixed value: of an id, those that count a partition's rows
+    return shared.table(placed.withColumn("_r", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_r", bits).cast("int")).withColumn("_r", F.col("_r").bitwiseAND((1 << bits) - 1)))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, first: int = 0, within: list[Column] | None = None, cut: bool = True) -> DataFrame:
     """`df` with a gapless global rank by ascending columns, without one task for all rows.
 
-    Rows are numbered inside their range, and the ranges' sizes, a small table, give
-    the offsets.  They meet null-safely: of an equality the optimizer would infer the
-    range's expression for the sizes, which have not its columns.
+    Rows are numbered inside their range, and the ranges' sizes, a row for each
+    shuffle partition, give the offsets.  `within` is the order in full where `order`
+    has only short leading columns of it.
     """
-    placed = in_ranges(df, order)
-    numbered = placed.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    placed = in_ranges(df, order, within, cut)
     sizes = placed.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return numbered.join(F.broadcast(offsets), F.col("_p").eqNullSafe(F.col("_q"))).withColumn(name, (F.col("_before") + F.col("_r") - 1 + first).cast("long")).drop("_p", "_q", "_r", "_before")
+    offsets = sizes.select("_q", F.coalesce(F.sum("_n").over(W.orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn(name, (F.col("_before") + F.col("_r") + first).cast("long")).drop("_p", "_q", "_r", "_before")
 
 
 def places(df: DataFrame, strata: list[str], then: list[str], name: str) -> DataFrame:
@@ -110,34 +109,39 @@ def places(df: DataFrame, strata: list[str], then: list[str], name: str) -> Data
     A range numbers its own rows.  Only the first stratum of a range can go back to
     earlier ranges, so what is carried over is a row a range at most.
     """
-    placed, here = in_ranges(df, [F.col(c) for c in (*strata, *then)]), W.partitionBy("_p")
-    numbered = placed.withColumn("_r", F.row_number().over(here.orderBy(*strata, *then))).withColumn("_s", F.rank().over(here.orderBy(*strata)))
+    placed = in_ranges(df, [F.col(c) for c in (*strata, *then)])
+    numbered = placed.withColumn("_s", F.min("_r").over(W.partitionBy("_p", *strata)))
     sizes = placed.groupBy(F.col("_p").alias("_q"), *strata).agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(W.partitionBy(*strata).orderBy("_q").rowsBetween(W.unboundedPreceding, -1))
     carried = sizes.select("_q", earlier.alias("_carried")).where(F.col("_carried").isNotNull())
-    out = numbered.join(F.broadcast(carried), F.col("_p").eqNullSafe(F.col("_q")), "left")
-    place = F.col("_r") - F.col("_s") + F.when(F.col("_s") == 1, F.coalesce("_carried", F.lit(0))).otherwise(0)
+    out = numbered.join(F.broadcast(carried), F.col("_p") == F.col("_q"), "left")
+    place = F.col("_r") - F.col("_s") + F.when(F.col("_s") == 0, F.coalesce("_carried", F.lit(0))).otherwise(0)
     return out.withColumn(name, place.cast("long")).drop("_p", "_q", "_r", "_s", "_carried")
 
 
-#: Rows of a block of `running`.
-BLOCK = 1 << 16
-
-
 def running(df: DataFrame, position: str, what: dict[str, tuple[str, Column]]) -> DataFrame:
     """`df` with running "sum" or "max" columns over all rows before, by a gapless position from 0; null where there are none.
 
-    A block of BLOCK rows is one window, and the blocks' totals, a row for each
-    BLOCK rows, make the start of each.
+    A block of BLOCK rows is one window, and what comes before a block is the same
+    over the blocks' totals, a row for each BLOCK rows, in blocks of their own.  Blocks
+    meet their starts in the partitions that the window has dealt them to.
     """
     both = {"sum": (F.sum, lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y)), "max": (F.max, F.greatest)}
-    inside, ahead = W.partitionBy("_block").orderBy(position).rowsBetween(W.unboundedPreceding, -1), W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    rows = df.withColumn("_block", F.floor(F.col(position) / BLOCK))
-    totals = rows.groupBy(F.col("_block").alias("_at")).agg(*(both[kind][0](c).alias(f"_{name}") for name, (kind, c) in what.items()))
-    starts = totals.select("_at", *(both[kind][0](f"_{name}").over(ahead).alias(f"_{name}") for name, (kind, _) in what.items()))
-    here = rows.withColumns({name: both[kind][0](c).over(inside) for name, (kind, c) in what.items()})
-    out = here.join(F.broadcast(starts), F.col("_block") == F.col("_at"))
-    return out.withColumns({name: both[kind][1](F.col(f"_{name}"), F.col(name)) for name, (kind, _) in what.items()}).drop("_block", "_at", *(f"_{name}" for name in what))
+
+    def before(rows: DataFrame, at: str, values: dict[str, tuple[str, Column]], levels: int) -> DataFrame:
+        block = f"_block{levels}"
+        rows = rows.withColumn(block, F.floor(F.col(at) / BLOCK) if levels else F.lit(0))
+        inside = W.partitionBy(block).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+        here = rows.withColumns({name: both[kind][0](c).over(inside) for name, (kind, c) in values.items()})
+        if not levels:
+            return here.drop(block)
+        above = {f"{name}_{levels}": kind for name, (kind, _) in values.items()}
+        totals = rows.groupBy(F.col(block).alias(f"_at{levels}")).agg(*(both[kind][0](c).alias(f"{name}_{levels}") for name, (kind, c) in values.items()))
+        starts = before(totals, f"_at{levels}", {name: (kind, F.col(name)) for name, kind in above.items()}, levels - 1)
+        out = here.join(starts, F.col(block) == F.col(f"_at{levels}"))
+        return out.withColumns({name: both[kind][1](F.col(f"{name}_{levels}"), F.col(name)) for name, (kind, _) in values.items()}).drop(block, f"_at{levels}", *above)
+
+    return before(df, position, what, 2)  # blocks of blocks of rows: what one task adds up is a row for each BLOCK * BLOCK
 
 
 def last_of_key(df: DataFrame, key: str, order: str) -> DataFrame:

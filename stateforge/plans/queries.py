@@ -63,7 +63,7 @@ WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || CAST(doc_i
 SELECT doc_id, position, CASE WHEN position < 64 THEN 'smoke' WHEN position < 64 + least(100, (n - 64) // 4) THEN 'validation' ELSE 'train' END AS split FROM r""")
 def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    placed = prepare.ranked(docs, [F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256), F.col("doc_id")], "position")
+    placed = prepare.ranked(docs, [F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256), F.col("doc_id")], "position", cut=False)
     sizes = prepare.split_sizes(docs.count(), 64, 100, 1 << 40, allow_smaller=True)
     return prepare.with_split(placed, sizes).select("doc_id", "position", "split")
 
@@ -261,7 +261,7 @@ y AS (SELECT rollout_id, k, CAST(q + off AS VARCHAR) AS reference,
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses that state the quantity in different ways; every other reference is one more."""
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")]
-    rows = prepare.ranked(table(spark, sf_dir, "lineitem").select(*order), order, "_n", 1)
+    rows = prepare.ranked(table(spark, sf_dir, "lineitem").select(*order), order, "_n", 1, cut=False)
     q, k = F.col("l_quantity").cast("long"), F.col("l_linenumber") % 7
     s = q.cast("string")
     ways = [F.concat(F.lit("First \\boxed{0}, then \\boxed{ "), s, F.lit(".0 }")), F.concat(F.lit("So the answer is: "), s, F.lit(".")), F.concat(F.lit("Work\n#### "), (2 * q).cast("string"), F.lit("/2")), s, F.lit("one\ntwo"), F.concat(F.lit("\\boxed{\\frac}\nFinal answer: frac{"), (3 * q).cast("string"), F.lit("}{3}")), F.lit("")]

@@ -74,7 +74,7 @@ def prompt_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders QUALIFY n < 500")
 def prompt_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limit of prompts is the feature: the first 500 by an explicit order."""
-    rows = prepare.ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], "n")
+    rows = prepare.ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], "n", cut=False)
     return prepare.prefix(rows, "n", 500).select("o_orderkey", "n")
 
 
