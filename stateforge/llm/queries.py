@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateforge.llm import bpe, conversation, jaccard, media, mixing, pll, quality, runs, secrets, substring, topk, toxicity
+from stateforge.llm import bpe, conversation, jaccard, media, mixing, pll, quality, runs, secrets, substring, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.packed(table(spark, sf_dir, "pages"))
+
+
 def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")))
 
@@ -63,7 +67,7 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.detect(table(spark, sf_dir, "documents"), damage=True).drop("runs", "collapsed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_topk, op3_quality, op4_secrets, op5_pll, op6_bpe, op7_jaccard, op8_toxicity, op9_media, op10_substring, op12_conversation, op13_periodic)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_topk, op3_quality, op4_secrets, op5_pll, op6_bpe, op7_jaccard, op8_toxicity, op9_media, op10_substring, op11_warc, op12_conversation, op13_periodic)}
 
 def _repair_sql() -> str:
     """The repair as a recursion over rows: a state is its cost, in 12 digits, and its audit, so that the least string is the cheapest."""
@@ -114,5 +118,9 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
 c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s.s) AS n_shingles, component_id FROM s JOIN c USING (doc_id)""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+r AS (SELECT page_id, n, sha256(html) AS d, row_number() OVER w AS k, first_value(page_id) OVER w AS f FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS FIRST))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN f END AS refers_to FROM r""",
     "op12_conversation": _repair_sql(),
 }
