@@ -24,8 +24,8 @@ which is sequential by definition, is fed line by line in one task.  Results are
 the same either way.
 
 Defined results: a null role or text is one space; a null turn comes first and
-counts for no gap; a null id is a conversation of its own; equal rows are
-duplicates of the first; a conversation without (present) rows has zeros, an empty audit
+counts for no gap; a null id is a conversation of its own; an empty role has no
+initial and fits nowhere; equal rows are duplicates of the first; a conversation without (present) rows has zeros, an empty audit
 and the hash of the empty text; an empty table gives no rows; columns beside
 the four are ignored.
 """
@@ -183,9 +183,12 @@ def _rows(turns: DataFrame) -> DataFrame:
 
 
 def _short(rows: DataFrame) -> DataFrame:
-    """A row for each conversation, as one array of its turns: audit, counts, and what is left of the turns."""
+    """A row for each conversation, as one array of its turns: audit, counts, and what is left of the turns.
+
+    Conversations are dealt out once, for the window and the array alike.
+    """
     seen = W.partitionBy("conv_id", "role", "text").orderBy(F.col("there").desc(), F.col("turn").asc_nulls_first())
-    marked = faulty(rows, F.row_number().over(seen) > 1)
+    marked = faulty(rows.repartition("conv_id"), F.row_number().over(seen) > 1)
     turn = F.struct("turn", "role", "text", "fault", "initial")
     out = marked.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("there"), turn))).alias("_rows"))
     at = F.col("_rows")
@@ -226,7 +229,7 @@ def _long(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     basis = [states(*((0, "") if i == k else None for i in range(4))) for k in range(4)]
     blocks = blocks.select("conv_id", "block", "_from", F.array(*(folded(small, b) for b in basis)).alias("_to"), F.array_join(F.transform("_rows", lambda r: letter(r["initial"])), "").alias("_letters"))
     whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "_from", "_to", "_letters"))).alias("_blocks"))
-    path = f"struct<cost: bigint, audit: string, path: array<int>>"
+    path = "struct<cost: bigint, audit: string, path: array<int>>"
     carried = "struct<" + ", ".join(f"s{i}: {path}" for i in range(4)) + ">"
 
     def joined(acc: Column, block: Column) -> Column:
