@@ -162,7 +162,7 @@ def split_sizes(available: int, smoke: int, validation: int, train: int, allow_s
     if available >= smoke + validation + train:
         return {"smoke": smoke, "validation": validation, "train": train}
     if not allow_smaller:
-        raise ValueError(f"Need {smoke + validation + train} records but source only produced {available}")
+        raise ValueError(f"the splits take {smoke + validation + train} rows, and there are {available}")
     first = min(smoke, available)
     second = min(validation, max(0, (available - first) // 4))
     return {"smoke": first, "validation": second, "train": available - first - second}

@@ -28,9 +28,9 @@ def permutation(values, allowed: tuple[str, ...], name: str) -> list[str]:
 def budget_of(dense_tokens: int, strategy: str, *, ratio: float = 1.0, tokens: int | None = None) -> int:
     """The token budget: all for dense, else the given one, else the ratio of all, cut."""
     if not 0.0 < ratio <= 1.0:
-        raise ValueError("annotation_selection.budget_ratio must be in (0, 1]")
+        raise ValueError("the budget ratio must be above 0 and at most 1")
     if tokens is not None and tokens <= 0:
-        raise ValueError("annotation_selection.budget_tokens must be positive")
+        raise ValueError("a token budget must be positive")
     if strategy == "dense":
         return dense_tokens
     return tokens if tokens is not None else int(dense_tokens * ratio)
@@ -49,7 +49,7 @@ def state_groups(verified: DataFrame) -> DataFrame:
 def k_violations(rollouts: DataFrame, k: int) -> DataFrame:
     """(sample_id, candidates) of samples that have not k different candidates."""
     if k < 2:
-        raise ValueError("rollouts_per_prompt must be at least 2 when selection is enabled")
+        raise ValueError("selection needs at least 2 rollouts a prompt")
     return rollouts.groupBy("sample_id").agg(F.count_distinct("candidate_index").alias("candidates")).where(F.col("candidates") != k)
 
 
@@ -68,7 +68,7 @@ def decisions(rollouts: DataFrame, verifications: DataFrame, prompts: DataFrame,
     for mark, key, what in (("_verified", "rollout_id", "verification"), ("_asked", "sample_id", "prompt")):
         lost = verified.where(F.col(mark).isNull()).select(key).limit(1).collect()
         if lost:
-            raise KeyError(f"missing {what} for {lost[0][0]}")
+            raise KeyError(f"{lost[0][0]} has no {what}")
     rows = verified.join(state_groups(verified), "sample_id")
     decided = rows.select(
         "rollout_id",
@@ -183,7 +183,7 @@ def selected_rollouts(rollouts: DataFrame, selection: DataFrame) -> DataFrame:
     """The chosen rollouts by rank; none is an error."""
     chosen = selection.where("selected").select("rollout_id", "selection_rank")
     if not chosen.limit(1).count():
-        raise ValueError("Annotation selection produced no records")
+        raise ValueError("no rollout was selected")
     return rollouts.join(chosen, "rollout_id").orderBy("selection_rank").drop("selection_rank")
 
 

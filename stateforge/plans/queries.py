@@ -443,7 +443,7 @@ def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = evaluation.multinomial_bootstrap(_pairs(spark, sf_dir))
+    b = evaluation.distributed_bootstrap(_pairs(spark, sf_dir))
     return spark.createDataFrame([(b.mean_difference, b.samples, b.ci_low, b.ci_high)], "mean_difference double, samples long, ci_low double, ci_high double")
 
 

@@ -13,7 +13,7 @@ from stateforge.operators import contamination, evaluation, prepare, reports, ro
 from stateforge.plans import queries as q
 from stateforge.plans.queries import query, table
 from stateforge.plans.stages import Stages
-from stateforge.sources import records, shared
+from stateforge.sources import digests, records, shared
 
 # ---------------------------------------------------------------- keyed maps keep the last of a key
 
@@ -237,6 +237,52 @@ def verify_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.verified(q._responses(spark, sf_dir), reference="reference").select("rollout_id", "status", "score")
 
 
+# ---------------------------------------------------------------- what is resumed, and when to stop
+
+
+_ROW_HASH = "CAST(concat('0x', left(sha256(concat(length(id), ':', id, length(o), ':', o, length(prompt), ':', prompt)), 15)) AS BIGINT)"
+_WORK = "SELECT shard, count(*) AS n, sum(h) AS s, bit_xor(h) AS x FROM (SELECT shard, " + _ROW_HASH + " AS h FROM {}) GROUP BY shard"
+
+
+@query(
+    f"WITH w AS (SELECT o_orderkey // 100 AS shard, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS o, o_orderpriority || CASE WHEN o_orderkey % 500 = 7 THEN '!' ELSE '' END AS prompt, o_orderpriority AS before FROM orders),"
+    f" a AS ({_WORK.format('w')}), b AS ({_WORK.format('(SELECT shard, id, o, before AS prompt FROM w)')}) SELECT a.shard, a.n AS rows, CAST(a.s AS VARCHAR) || ':' || CAST(a.x AS VARCHAR) AS digest, a.s = b.s AND a.x = b.x AS reusable FROM a JOIN b ON a.shard = b.shard"
+)
+def resume_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What orders as work in shards of 100 keys are, and which shards made before some prompts changed can be used again."""
+    orders = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("shard"), "o_orderkey", "o_custkey", "o_orderpriority")
+    columns = ("o_orderkey", "o_custkey", "prompt")
+    want = orders.withColumn("prompt", F.concat("o_orderpriority", F.when(F.pmod("o_orderkey", F.lit(500)) == 7, "!").otherwise("")))
+    stored = orders.withColumn("prompt", F.col("o_orderpriority")).withColumn("status", F.lit("success"))
+    whole = rollout.complete_shards(stored, want, columns=columns).withColumn("_whole", F.lit(True))
+    return rollout.work_digests(want, columns).join(whole, "shard", "left").select("shard", "rows", "digest", F.coalesce("_whole", F.lit(False)).alias("reusable"))
+
+
+@query(f"{q._GATE}, o AS (SELECT shard, row_number() OVER (ORDER BY shard) AS k FROM c), w AS (SELECT shard, CAST(floor(log2(k)) AS BIGINT) AS wave FROM o), f AS (SELECT min(wave) AS stop FROM w WHERE shard = (SELECT min(shard) FROM c WHERE a >= 800 AND b / a > 0.11)) SELECT shard, wave, wave <= coalesce(stop, wave) AS made FROM w, f".replace(") SELECT shard, CAST(a AS BIGINT) AS successful_records, CAST(b AS BIGINT) AS truncated_records, round(b / a, 9) AS truncation_rate, CASE WHEN a >= 800 AND b / a > 0.12 THEN 'failed' WHEN a >= 800 THEN 'passed' ELSE 'collecting' END AS status FROM c", ")"))
+def gate_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as prompts in shards of 500: the wave in which each shard is made, and whether the gate lets it come to that."""
+    rows = q._lines(spark, sf_dir).withColumn("shard", F.floor(F.col("sample_id").cast("long") / 500))
+    gate = reports.quality_gate(rows, shard="shard", max_new_tokens=45, min_samples=800, max_rate=0.11)
+    placed = shared.table(prepare.ranked(gate, [F.col("shard")], "n"))
+    edges = rollout.waves(placed.count())
+    wave = F.lit(0).cast("long")
+    for k, (first, _) in enumerate(edges):
+        wave = F.when(F.col("n") >= first, F.lit(k).cast("long")).otherwise(wave)
+    placed = placed.withColumn("wave", wave)
+    stop = placed.join(reports.first_failure(placed, "shard").select(F.col("shard").alias("_failed")), F.col("shard") == F.col("_failed")).agg(F.min("wave").alias("_stop"))
+    return placed.join(F.broadcast(stop), F.lit(True)).select("shard", "wave", (F.col("wave") <= F.coalesce("_stop", "wave")).alias("made"))
+
+
+@query()
+def artifact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content hash of each table's folder, by byte ranges (SQL reads rows, not files)."""
+    out = None
+    for name in ("lineitem", "orders", "documents", "pages"):
+        one = digests.folder_root(digests.table_roots(spark, f"{sf_dir}/{name}.parquet")).select(F.lit(name).alias("name"), "files", "root")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------- stages
 
 
@@ -250,7 +296,7 @@ _KEPT = f"k AS (SELECT f.*, len(list_filter(regexp_split_to_array(text, '\\s+'),
 )
 def stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that each stage's manifest counts: documents as prompts from raw rows to a training view, against the benchmark."""
-    root = f"{shared.folder(spark).removeprefix('file://')}/stages-{uuid4().hex}"
+    root = f"{shared.folder(spark)}/stages-{uuid4().hex}"
     raw, evals = f"{root}/raw.parquet", f"{root}/eval.parquet"
     table(spark, sf_dir, "documents").orderBy("doc_id").select("doc_id", F.col("text").alias("problem"), F.lit("0").alias("answer"), F.col("lang").alias("subject")).write.parquet(raw)
     table(spark, sf_dir, "benchmark").orderBy("item_id").select(F.col("item_id").cast("string").alias("sample_id"), F.col("text").alias("problem")).write.parquet(evals)

@@ -16,7 +16,7 @@ def test_prompts_take_the_first_filled_alias(spark):
 def test_split_sizes():
     assert prepare.split_sizes(10, 2, 3, 5) == {"smoke": 2, "validation": 3, "train": 5}
     assert prepare.split_sizes(10, 4, 8, 8, True) == {"smoke": 4, "validation": 1, "train": 5}
-    with pytest.raises(ValueError, match="Need 16"):
+    with pytest.raises(ValueError, match="take 16"):
         prepare.split_sizes(10, 4, 4, 8)
 
 
@@ -90,7 +90,7 @@ def test_orders_are_the_models(spark, strategy):
 def test_options_are_checked(spark):
     with pytest.raises(ValueError, match="exactly once"):
         selection.permutation(["pass", "pass", "fail"], selection.STATUSES, "status_priority")
-    with pytest.raises(ValueError, match="budget_ratio"):
+    with pytest.raises(ValueError, match="budget ratio"):
         selection.budget_of(10, "vfs", ratio=0.0)
     assert (selection.budget_of(11, "vfs", ratio=0.5), selection.budget_of(11, "dense", ratio=0.5), selection.budget_of(11, "vfs", tokens=3)) == (5, 11, 3)
     with pytest.raises(ValueError, match="at least 2"):
@@ -107,7 +107,7 @@ def test_mismatched_tokenizers_fail(spark):
     r = spark.createDataFrame([("r1", "s", "p", "q", "A")], "rollout_id string, sample_id string, prompt string, response string, tokenizer_fingerprint string")
     v = spark.createDataFrame([("r1", "pass")], "rollout_id string, status string")
     a = v.select("rollout_id", F.lit("success").alias("status"), F.lit("B").alias("tokenizer_fingerprint"), F.array(F.lit(1)).alias("input_ids"), F.lit(1).alias("response_start"), *(F.array(F.lit(1)).alias(c) for c in views.PER_TOKEN))
-    with pytest.raises(ValueError, match="mismatch for r1"):
+    with pytest.raises(ValueError, match="r1 was generated"):
         views.joined(r, v, a)
 
 
@@ -132,13 +132,28 @@ def test_bootstrap_is_the_same_at_every_size(spark):
     rows = [(i, float(rng.random() < 0.5), rng.choice([0.0, 0.5, 1.0])) for i in range(300)]
     pairs = spark.createDataFrame([*rows, (300, None, 1.0)], "sample_id long, baseline double, candidate double")
     a = evaluation.paired_bootstrap([r[1] for r in rows], [r[2] for r in rows], iterations=4000)
-    b = evaluation.multinomial_bootstrap(pairs)
+    b = evaluation.distributed_bootstrap(pairs)
     assert b.samples == a.samples == 300 and b.mean_difference == pytest.approx(a.mean_difference)
     assert b.ci_low == pytest.approx(a.ci_low, abs=0.01) and b.ci_high == pytest.approx(a.ci_high, abs=0.01)
-    one = evaluation.multinomial_bootstrap(pairs, iterations=1)
+    one = evaluation.distributed_bootstrap(pairs, iterations=1)
     assert one.ci_low == one.ci_high
     with pytest.raises(ValueError, match="at least one"):
-        evaluation.multinomial_bootstrap(pairs.limit(0))
+        evaluation.distributed_bootstrap(pairs.limit(0))
+
+
+def test_bootstrap_of_continuous_scores(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, 0.0, rng.gauss(0.1, 1)) for i in range(400)] + [(i, 0.0, 0.5) for i in range(400, 500)]
+    pairs = spark.createDataFrame(rows, "sample_id long, baseline double, candidate double")
+    a = evaluation.paired_bootstrap([0.0] * 500, [r[2] for r in rows], iterations=4000)
+    whole = evaluation.distributed_bootstrap(pairs.repartition(3), iterations=4000)
+    monkeypatch.setattr(evaluation, "BLOCK_VALUES", 16)
+    monkeypatch.setattr(evaluation, "AT_ONCE", 1000)
+    for b in (whole, evaluation.distributed_bootstrap(pairs, iterations=4000)):
+        assert b.samples == 500 and b.mean_difference == pytest.approx(a.mean_difference)
+        assert b.ci_low == pytest.approx(a.ci_low, abs=0.02) and b.ci_high == pytest.approx(a.ci_high, abs=0.02)
+    again = evaluation.distributed_bootstrap(pairs.repartition(7), iterations=4000)
+    assert (again.ci_low, again.ci_high) == pytest.approx((b.ci_low, b.ci_high))
 
 
 def test_early_stop_follows_the_last_accepted(spark):
