@@ -258,11 +258,11 @@ def resume_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollout.work_digests(want, columns).join(whole, "shard", "left").select("shard", "rows", "digest", F.coalesce("_whole", F.lit(False)).alias("reusable"))
 
 
-@query(f"{q._GATE}, o AS (SELECT shard, row_number() OVER (ORDER BY shard) AS k FROM c), w AS (SELECT shard, CAST(floor(log2(k)) AS BIGINT) AS wave FROM o), f AS (SELECT min(wave) AS stop FROM w WHERE shard = (SELECT min(shard) FROM c WHERE a >= 800 AND b / a > 0.11)) SELECT shard, wave, wave <= coalesce(stop, wave) AS made FROM w, f".replace(") SELECT shard, CAST(a AS BIGINT) AS successful_records, CAST(b AS BIGINT) AS truncated_records, round(b / a, 9) AS truncation_rate, CASE WHEN a >= 800 AND b / a > 0.12 THEN 'failed' WHEN a >= 800 THEN 'passed' ELSE 'collecting' END AS status FROM c", ")"))
+@query(f"{q._GATE}, o AS (SELECT shard, row_number() OVER (ORDER BY shard) AS k FROM c), w AS (SELECT shard, CAST(floor(log2(k)) AS BIGINT) AS wave FROM o), f AS (SELECT min(wave) AS stop FROM w WHERE shard = (SELECT min(shard) FROM c WHERE a >= 5000 AND b / a > 0.1205)) SELECT shard, wave, wave <= coalesce(stop, wave) AS made FROM w, f".replace(") SELECT shard, CAST(a AS BIGINT) AS successful_records, CAST(b AS BIGINT) AS truncated_records, round(b / a, 9) AS truncation_rate, CASE WHEN a >= 800 AND b / a > 0.12 THEN 'failed' WHEN a >= 800 THEN 'passed' ELSE 'collecting' END AS status FROM c", ")"))
 def gate_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as prompts in shards of 500: the wave in which each shard is made, and whether the gate lets it come to that."""
     rows = q._lines(spark, sf_dir).withColumn("shard", F.floor(F.col("sample_id").cast("long") / 500))
-    gate = reports.quality_gate(rows, shard="shard", max_new_tokens=45, min_samples=800, max_rate=0.11)
+    gate = reports.quality_gate(rows, shard="shard", max_new_tokens=45, min_samples=5000, max_rate=0.1205)
     placed = shared.table(prepare.ranked(gate, [F.col("shard")], "n"))
     edges = rollout.waves(placed.count())
     wave = F.lit(0).cast("long")
@@ -273,6 +273,41 @@ def gate_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(F.broadcast(stop), F.lit(True)).select("shard", "wave", (F.col("wave") <= F.coalesce("_stop", "wave")).alias("made"))
 
 
+_STEPS = f"{q._RESPONSES.strip()}, v AS (SELECT 'run ' || CAST(n % 3 AS VARCHAR) AS run, n // 3 % 12 AS step, CASE WHEN extracted IS NULL THEN 0 ELSE 1 END AS found, CASE WHEN extracted IS NOT NULL AND k <> 5 AND off = 0 THEN 1 ELSE 0 END AS right_answer FROM (SELECT *, CAST(substr(rollout_id, 2) AS BIGINT) AS n FROM y))"
+
+
+def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as three runs' validation at twelve steps, turns of conversations as their instructions."""
+    key = F.substring("rollout_id", 2, 20).cast("long")
+    math_rows = q._responses(spark, sf_dir).select(F.concat(F.lit("run "), F.pmod(key, F.lit(3)).cast("string")).alias("run"), F.pmod(F.floor(key / 3), F.lit(12)).alias("step"), "response", F.col("reference").alias("reference_answer"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("run "), F.pmod("conv_id", F.lit(3)).cast("string")).alias("run"), F.col("turn").alias("step"), F.col("text").alias("response"), F.lit('{"ends_with": "."}').alias("metadata"))
+    return evaluation.validation_points(math_rows, turns)
+
+
+@query(
+    f"WITH {_STEPS}, m AS (SELECT run, step, avg(right_answer) AS a, avg(found) AS f FROM v GROUP BY ALL), c AS (SELECT 'run ' || CAST(conv_id % 3 AS VARCHAR) AS run, turn AS step, avg(CASE WHEN ends_with(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '.') THEN 1 ELSE 0 END) AS i FROM conversations GROUP BY ALL)"
+    " SELECT run, step, round(a, 9) AS validation_accuracy, round(f, 9) AS format_pass_rate, round(coalesce(i, 0), 9) AS instruction_regression_score, round(0.8 * a + 0.1 * f + 0.1 * coalesce(i, 0), 9) AS composite_score FROM m LEFT JOIN c USING (run, step)"
+)
+def validation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, format, instructions and the composite score of every run and step."""
+    out = _validation(spark, sf_dir)
+    return out.select("run", "step", *(F.round(c, 9).alias(c) for c in ("validation_accuracy", "format_pass_rate", "instruction_regression_score", "composite_score")))
+
+
+def _same_words(reference: str, candidate: str) -> bool:
+    """A comparer of the queries: the words of both, whatever their order."""
+    return sorted(reference.split("_")) == sorted(candidate.split("_"))
+
+
+@query("SELECT c_custkey, c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) = CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NONE' END || '_' || CAST(c_nationkey AS VARCHAR) AS equivalent FROM customer")
+def answer_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of words that a registered comparer calls the same in any order; every second has another word."""
+    answers.COMPARERS["words"] = lambda: _same_words
+    number = F.col("c_nationkey").cast("string")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("_"), number).alias("reference"), F.concat(number, F.lit("_"), F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.col("c_mktsegment")).otherwise("NONE")).alias("candidate"))
+    return answers.with_equivalence(rows, "reference", "candidate", comparer="words").select("c_custkey", "equivalent")
+
+
 @query()
 def artifact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The content hash of each table's folder, by byte ranges (SQL reads rows, not files)."""

@@ -112,3 +112,43 @@ def test_arrays(spark):
         one.select(arrays.logit_bounds(F.lit(2), F.lit(5), F.lit(6))).collect()
     with pytest.raises(Exception, match="Missing verifier weight"):
         one.select(arrays.verifier_weight(F.lit("odd"), {"pass": 1.0})).collect()
+
+
+def test_comparers(spark):
+    """A registered comparer decides what isn't numbers; where it fails, hangs or can't be built, the plain comparison does."""
+    import time
+
+    from stateforge.functions import answers
+
+    def odd(reference, candidate):
+        if reference == "boom":
+            raise RuntimeError("no")
+        if reference == "slow":
+            time.sleep(30)
+        return sorted(reference) == sorted(candidate)
+
+    def broken():
+        raise ImportError("not here")
+
+    answers.COMPARERS["odd"], answers.COMPARERS["broken"] = lambda: odd, broken
+    rows = [("ab", "ba"), ("ab", "ac"), ("1", "1.0"), ("12", "21"), ("boom", "boom"), ("boom", "moob"), ("slow", "slow"), (None, "x"), ("x", None)] * 2
+    df = spark.createDataFrame(rows, "r string, c string")
+    got = [(x.r, x.c, x.equivalent) for x in answers.with_equivalence(df, "r", "c", comparer="odd", patience=0.5).collect()]
+    want = {("ab", "ba"): True, ("ab", "ac"): False, ("1", "1.0"): True, ("12", "21"): False, ("boom", "boom"): True, ("boom", "moob"): False, ("slow", "slow"): True, (None, "x"): None, ("x", None): None}
+    assert sorted(map(str, got)) == sorted(str((r, c, want[r, c])) for r, c in rows)
+    plain = [(x.r, x.c, x.equivalent) for x in answers.with_equivalence(df, "r", "c", comparer="broken").collect()]
+    assert sorted(map(str, plain)) == sorted(str((x.r, x.c, x.equivalent)) for x in answers.with_equivalence(df, "r", "c").collect())
+    verdicts = answers.verified(spark.createDataFrame([("\\boxed{ba}", "ab")], "response string, reference_answer string"), comparer="odd").collect()
+    assert verdicts[0].status == "pass"
+
+
+def test_arithmetic():
+    from stateforge.operators.rollout import arithmetic
+
+    for expression in ("1", "-2**2", "2**3**2", "2**-1", "(1+2)*-3", "7//2-7/2", "- - 3", "2*(3+(4-1))**2//5", "1_000*0x10", "1.5e1-3", "-(2)", "10-3-2", "8/4/2", "(((((1)))))", "2 ** - 3 ** 2"):
+        assert arithmetic(expression) == eval(expression), expression
+    for wrong in ("", "1 2", "+1", "a", "1+", "(1", "1)", "()", "1**", "2j", "f(1)", "1 % 2", "1\n+2"):
+        with pytest.raises((ValueError, SyntaxError)):
+            arithmetic(wrong)
+    with pytest.raises(OverflowError):
+        arithmetic("9**9**9")
