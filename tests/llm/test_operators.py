@@ -250,7 +250,7 @@ def test_secrets_against_a_plain_scan():
     rng = random.Random(3)
     parts = ["password", "api-key", "Token", "=", ": ", "'", "  ", "\n", "AKIA", "0123456789abcdef", "é", "deadbeef", "Zx8Kq2LmP0vT", "9sYw3NbE", "ABCDEFGHIJKLMNOPQR", "word ", "bearer "]
     n = secrets.Novelty()
-    zstd = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=secrets.trained_dictionary())
+    zstd = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(secrets.trained_dictionary()))
     shapes = {
         "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
         "access": re.compile("AKIA[A-Z0-9]+"),
@@ -272,7 +272,7 @@ def test_secrets_against_a_plain_scan():
         got = secrets.scan(text, n)
         assert [(a, secrets.KINDS.index(k), b) for k, a, b, _ in got if k != "novel"] == sorted(want)
         for _, a, b, more in got:
-            around = (text[max(0, a - secrets.AROUND) : a] + "\n" + text[b : b + secrets.AROUND]).encode()
+            around = n.primer + (text[max(0, a - secrets.AROUND) : a] + "\n" + text[b : b + secrets.AROUND]).encode()
             assert more == len(zstd.compress(around + text[a:b].encode())) - len(zstd.compress(around))
 
 
@@ -281,19 +281,47 @@ def test_secrets_finds_random_strings():
     import string
 
     rng, n = random.Random(5), secrets.Novelty()
-    for alphabet, least in ((string.ascii_letters + string.digits, 0.95), (string.digits, 0.95), (string.ascii_uppercase, 0.95), (string.ascii_lowercase + string.digits, 0.8), (string.ascii_lowercase, 0.6)):
+    for alphabet, least in ((string.ascii_letters + string.digits, 0.95), (string.digits, 0.95), (string.ascii_uppercase, 0.95), (string.ascii_lowercase + string.digits, 0.95), (string.ascii_lowercase, 0.95)):
         found = 0
         for _ in range(100):
             x = "".join(rng.choice(alphabet) for _ in range(rng.randint(18, 40)))
             found += any(text_[a:b] == x for text_ in [f"the bearer credential\n  {x}\n"] for _, a, b, _ in secrets.scan(text_, n))
-        assert found >= least * 100, alphabet
+        assert found >= least * 100, (alphabet, found)
     false = 0
     for _ in range(300):
-        x = rng.choice(["_", "-", "/"]).join(rng.choice(secrets.WORDS) for _ in range(4))
+        x = rng.choice(["_", "-", "/"]).join(rng.choice(secrets.library_names()) for _ in range(4))
         false += len(secrets.scan(f"the credential of {x} is kept", n))
     assert false <= 3
 
 
+def test_secrets_dictionary_of_the_corpus(spark):
+    """Identifiers of the corpus at hand become cheap; what follows a sensitive word never primes the dictionary."""
+    rng = random.Random(9)
+    words = ["v" + "".join(rng.choice("bcdfghjkqvwxzKQZX0123456789") for _ in range(9)) for _ in range(60)]
+    code = lambda: "_".join(rng.choice(words) for _ in range(3))
+    leaked = "Qz7Xw1Lm9Rt4Kp2Vb8Nc"
+    texts = [f"def {code()}({code()}):\n    return {code()}.{code()}\n# bearer {leaked}\n" for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None), (1, "")], "doc_id long, text string")
+    primed = secrets.corpus_dictionary(docs)
+    plain, own = secrets.Novelty(), secrets.Novelty(primed)
+    ask = [f"the credential\n{code()}\n" for _ in range(200)]
+    counts = [sum(len(secrets.scan(x, n)) for x in ask) for n in (plain, own)]
+    assert counts[1] <= 2 < counts[0]
+    assert secrets.scan(f"bearer {leaked} ", own) and all(leaked not in x for t in texts for x in secrets.identifiers(t))
+    assert secrets.corpus_dictionary(docs.repartition(5)) == primed
+    assert all(leaked in r.spans or r.n_novel == 1 for r in secrets.find(docs.limit(5)).collect())
+    assert secrets.corpus_dictionary(docs.limit(0)) == secrets.trained_dictionary()
+
+
+def test_secrets_of_many_spans_are_linear():
+    import time
+
+    rng, n = random.Random(2), secrets.Novelty()
+    text = "".join(f"token = {''.join(rng.choice('abcdefghijklmnopqrstuvwxyz0123456789') for _ in range(20))}\n" for _ in range(70_000))
+    began = time.perf_counter()
+    assert len(text) > 2_000_000 and len(secrets.scan(text, n)) >= 70_000 and time.perf_counter() - began < 20
+
+
 def test_secrets_wide_spans_and_next_lines():
     n = secrets.Novelty()
     wide = "Zx8KQPqmVrT2_0123456789abcdef_NbEwYsTvLmKq"
