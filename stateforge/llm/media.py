@@ -42,7 +42,7 @@ class Broken(ValueError):
 
 @dataclass
 class Track:
-    """What the sample tables of one track say."""
+    """What the sample tables of one track say; `durations` has the ticks of every sample."""
 
     codec: str
     timescale: int
@@ -50,6 +50,11 @@ class Track:
     sizes: np.ndarray
     offsets: np.ndarray
     keys: np.ndarray
+    durations: np.ndarray
+
+    def key_times(self) -> np.ndarray:
+        """When every keyframe is decoded, in ticks."""
+        return (np.cumsum(self.durations) - self.durations)[self.keys]
 
     @property
     def seconds(self) -> float:
@@ -189,6 +194,14 @@ def _track(view: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
     first = np.append(0, np.cumsum(per_chunk))[:-1]
     before = np.append(0, np.cumsum(sizes))[:-1]
     offsets = np.repeat(chunks, per_chunk) + before - np.repeat(before[first] if n else first, per_chunk)
+    at, _ = tables[b"stts"]
+    (count,) = struct.unpack_from(">I", view, at + 4)
+    steps = _numbers(view, at + 8, 2 * count, ">u4").reshape(-1, 2)
+    if steps[:, 0].sum() != n:
+        raise Broken("times and sizes disagree on the number of samples")
+    durations = np.repeat(steps[:, 1], steps[:, 0])
+    if durations.sum() > duration:
+        raise Broken("the samples last longer than their track")
     if b"stss" in tables:
         at, _ = tables[b"stss"]
         (count,) = struct.unpack_from(">I", view, at + 4)
@@ -197,7 +210,7 @@ def _track(view: memoryview, tables: dict[bytes, tuple[int, int]]) -> Track:
             raise Broken("a keyframe is no sample")
     else:
         keys = np.arange(n)
-    return Track(codec, int(scale), int(duration), sizes, offsets, keys)
+    return Track(codec, int(scale), int(duration), sizes, offsets, keys, durations)
 
 
 def payload(file: bytes, track: Track) -> bytes:
