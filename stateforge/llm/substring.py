@@ -110,7 +110,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def all_spans(docs: DataFrame, id_col: str, text_col: str, only: kit.Filter | None = None) -> DataFrame:
-    """(h, id, at) of every span of every row; with `only`, of those whose hash may be in it."""
+    """(h, id, row, at) of every span of every row, which id and a hash of the text (`row`) tell from others; with `only`, of those whose hash may be in it."""
     sent = docs.sparkSession.sparkContext.broadcast(only) if only else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +121,14 @@ def all_spans(docs: DataFrame, id_col: str, text_col: str, only: kit.Filter | No
                 if sent is not None:
                     hit = sent.value.may_have(value)
                     text, at, value = text[hit], at[hit], value[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(value), batch.column(0).take(pa.array(text + a)), pa.array(at.astype(np.int32))], ["h", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(value), batch.column(0).take(pa.array(text + a)), batch.column(2).take(pa.array(text + a)), pa.array(at.astype(np.int32))], ["h", "id", "row", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"h long, id {kind}, at int")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).mapInArrow(run, f"h long, id {kind}, row long, at int")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, h): every span from sentence `at` on that stands first somewhere else.
+    """(id, row, at, h): every span from sentence `at` on that stands first somewhere else.
 
     Hashes are counted alone first; a filter of fixed size then lets (nearly)
     only those that occur twice through to the shuffle that finds first places.
@@ -143,7 +143,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     same = F.col("h") == F.col("_h")
     rest = again.join(F.broadcast(hot.select("_h")), same, "left_anti").join(cold.hint("shuffle_hash"), same)
     found = again.join(F.broadcast(hot), same).unionByName(rest)
-    return found.where(~F.struct("id", "at").eqNullSafe(F.col("_first"))).select("id", "at", "h")
+    return found.where(~F.struct("id", "at").eqNullSafe(F.col("_first"))).select("id", "row", "at", "h")
 
 
 def cut(text: str | None, marked: set[tuple[int, int]]) -> tuple[str | None, int, int, int]:
@@ -168,10 +168,14 @@ def cut(text: str | None, marked: set[tuple[int, int]]) -> tuple[str | None, int
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_sentences, n_removed, words_removed) of every row; `text` is what is left."""
+    """(id, text, n_sentences, n_removed, words_removed) of every row; `text` is what is left.
+
+    Marks go to the row that they are of, by id and text, so rows of one id (or of
+    none) that differ don't meet each other's.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    marks = repeats(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("at", "h")).alias("_marks"))
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")), "left")
+    marks = repeats(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "h")).alias("_marks"))
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).join(marks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
