@@ -104,7 +104,7 @@ FROM best LEFT JOIN n ON best.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN t
 #: DuckDB equivalents.  The other queries have none: learnt models (3, 5, 8), a compressor (4), merges (6), container bytes (9), seeded draws (1) and hash-cut sentences (10) are held against brute force in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: TRY_CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND coalesce(list_sum(list_transform(embedding, lambda x: pow(floor(256 * CAST(x AS DOUBLE)), 2))), 0) < pow(2.0, 62)),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS z FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(CAST(list_sum(list_transform(generate_series(1, least(len(q.z), len(c.z))), lambda i: q.z[i] * c.z[i])) AS BIGINT), 0) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5""",

@@ -11,15 +11,17 @@ what scores above the k-th value and, of those equal to it, each cell's k
 smallest ids; ties go to the smaller id.
 
 Defined results: vectors that are null or hold null or non-finite components, and
-rows without id, take no part; nor do vectors of a length of 2**31 or more (after
-the scaling), whose scores might not fit 64 bits; a shorter vector counts as
+rows without id, take no part; a shorter vector counts as
 filled with zeros, an empty one is all zeros; a query's own id is no candidate
 for it; repeated rows are candidates (and queries) of their own; other columns
-are ignored.
+are ignored.  Pairs with a vector of a length of 2**31 or more (after the scaling),
+whose scores may not fit 64 bits, are scored with integers of any size, in
+cells of their own; one of a query's k best that doesn't fit is an error.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 from stateforge.llm import kit
 
 BINS = 4096
+#: The length from which a vector's scores may leave 64 bits, and vectors of a cell that meets such ones.
+LONG, LONG_CELL = 2.0**31, 1024
 #: Most vectors and queries of a grid cell, and scores held at a time.
 CELL_VECTORS, CELL_QUERIES, SCORES = 65_536, 8_192, 2_000_000
 
 
 def packed(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, vec, norm): the usable rows, their components as packed 64-bit integers."""
+    """(id, vec, norm): the usable rows, their components as packed 64-bit integers, or of a length of LONG or more as packed doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +53,10 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
                 x = np.floor(scale * v.values.cast(pa.float64()).to_numpy(zero_copy_only=False))
                 if not np.isfinite(x).all():
                     continue
-                norm = float(np.linalg.norm(x))
-                if not norm < 2.0**31:
-                    continue
+                with np.errstate(over="ignore"):
+                    norm = float(np.linalg.norm(x))
                 ids.append(i.as_py())
-                vecs.append(x.astype(np.int64).tobytes())
+                vecs.append((x.astype(np.int64) if norm < LONG else x).tobytes())
                 norms.append(norm)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()), pa.array(norms, pa.float64())], ["id", "vec", "norm"])
 
@@ -82,11 +85,41 @@ def scored(left: pa.Table, right: pa.Table, width: int, exact: bool) -> Iterator
 NONE = -(1 << 62)
 
 
+def whole(column, long: np.ndarray) -> list[np.ndarray]:
+    """Vectors as arrays of Python's integers."""
+    return [np.array([int(v) for v in np.frombuffer(x.as_buffer(), np.float64 if is_long else np.int64).tolist()], object) for x, is_long in zip(column, long, strict=True)]
+
+
+def _long(asking: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(q, query_id, id, score, over): the k best candidates of each query within each cell, by integers of any size; `over` says that the score doesn't fit 64 bits."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            ids = right["id"].to_pylist()
+            others = whole(right["vec"], right["norm"].to_numpy() >= LONG)
+            for q, qid, x in zip(left["q"].to_pylist(), left["qid"].to_pylist(), whole(left["vec"], left["norm"].to_numpy() >= LONG), strict=True):
+                scores = ((int(x[: len(y)] @ y[: len(x)]) if len(x) and len(y) else 0, i) for i, y in zip(ids, others, strict=True) if i != qid)
+                for score, i in heapq.nsmallest(k, scores, key=lambda s: (-s[0], s[1])):
+                    held = max(-(1 << 63), min(score, (1 << 63) - 1))
+                    out.append((q, qid, i, held, held != score))
+        kinds = [pa.int64()] * 4 + [pa.bool_()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("q", "query_id", "id", "score", "over"), zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)})
+
+    cells = [max(1, -(-df.count() // LONG_CELL)) for df in (asking, candidates)]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in cells]
+    left = asking.select("q", "qid", "vec", "norm", F.pmod("q", F.lit(cells[0])).cast("int").alias("h"), every[1].alias("g"))
+    right = candidates.select("id", "vec", "norm", F.pmod(F.xxhash64("id", "vec"), F.lit(cells[1])).cast("int").alias("g"), every[0].alias("h"))
+    return left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(run, "q long, query_id long, id long, score long, over boolean")
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, id, score): the k best candidates of every row for which the column `is_query` (of the id) is true."""
     spark = vectors.sparkSession
-    rows = kit.written(packed(vectors, id_col, vector_col, scale), "vectors", compact=False)
-    queries = kit.written(rows.where(is_query(F.col("id"))).select(F.col("id").alias("qid"), "vec", "norm").withColumn("q", F.monotonically_increasing_id()), "queries")
+    every = kit.written(packed(vectors, id_col, vector_col, scale), "vectors", compact=False)
+    rows = every.where(F.col("norm") < LONG)
+    asking = kit.written(every.where(is_query(F.col("id"))).select(F.col("id").alias("qid"), "vec", "norm").withColumn("q", F.monotonically_increasing_id()), "queries")
+    queries = asking.where(F.col("norm") < LONG)
     n, largest, width = rows.agg(F.count("id"), F.max("norm"), F.max(F.length("vec") / 8)).head()
     nq, q_largest = queries.agg(F.count("q"), F.max("norm")).head()
     bound = math.ceil((largest or 0.0) * (q_largest or 0.0)) + 1
@@ -146,5 +179,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id", v
         return pa.table(dict(zip(("q", "query_id", "id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     kept = grid(state, keep, "q long, query_id long, id long, score long")
+    score = F.col("score")
+    if every.where(F.col("norm") >= LONG).limit(1).count():
+        score = F.when(F.col("over"), F.raise_error(F.concat(F.lit("the score of "), F.col("query_id"), F.lit(" and "), F.col("id"), F.lit(" doesn't fit 64 bits"))).cast("long")).otherwise(score).alias("score")
+        kept = kept.withColumn("over", F.lit(False)).unionByName(_long(asking, every.where(F.col("norm") >= LONG), k)).unionByName(_long(asking.where(F.col("norm") >= LONG), rows, k))
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), score)
