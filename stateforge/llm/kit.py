@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Shuffle partitions that one task writes at most (`written`).
+GATHERED = 8
 #: Bytes of text that a kernel handles at a time (a longer text is handled alone).
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C55
@@ -58,13 +60,14 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, compact: bool = True) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: a cut of the lineage that survives lost executors.
 
-    `compact` gathers what comes from a shuffle into two files a core at most;
-    not for what comes straight from a scan, whose tasks are heavy, nor where the
-    number of cores changes with the load.
+    `compact` gathers what comes from a shuffle into fewer files: two a core, but
+    never more than GATHERED shuffle partitions in one, so that a task's share grows
+    with the size of these alone.  Not for what comes straight from a scan, whose
+    tasks are heavy.
     """
     spark = df.sparkSession
-    if compact and spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    if compact:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // GATHERED)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
