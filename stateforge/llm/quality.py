@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is the average of learned vectors of its hashed words, word pairs,
-repeats of a word (at distance 1 and 2, whatever the word) and the 3- and
-5-byte n-grams inside its words (a blank stands for either end of a word), plus
+repeats of a word (at distance 1 and 2, whatever the word) and the n-grams of 3
+and 5 characters (code points) inside its words (a blank stands for either end of a word), plus
 one vector that every text has; a softmax over the two labels follows.  Vectors and output layer are trained on the driver by stochastic
 gradient descent in numpy over a bounded sample of labelled rows (`per_class`
 of each label, smallest hashes of the id first, and of these as many as have
@@ -52,7 +52,7 @@ class Model:
 
 def framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with white space as blanks and a blank before each and after the last; and where each text's blank is."""
-    out = np.full(len(data) + len(offsets), 32, np.uint32)
+    out = np.full(len(data) + len(offsets), 32, np.uint8)
     at = np.arange(len(data)) + np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
     out[at] = np.where(kit.WHITE[data], 32, data)
     return out, offsets + np.arange(len(offsets))
@@ -72,19 +72,14 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterato
         ok = np.append(kit.within(bounds, gap) & (h[:m] == h[gap:]), np.zeros(min(gap, len(h)), bool))
         yield np.full(int(ok.sum()), (gap * 0x9E3779B1 >> 7) & ((1 << bits) - 1)), np.append(0, np.cumsum(ok))[bounds]
     flat, at = framed(data, offsets)
-    blank = flat == 32
-    seen = np.append(0, np.cumsum(blank))
+    lead = np.append(np.flatnonzero((flat & 0xC0) != 0x80), len(flat))  # where code points begin
+    seen = np.append(0, np.cumsum(flat[lead[:-1]] == 32))
+    first = np.searchsorted(lead, at)
     for n in NGRAMS:
-        m = max(0, len(flat) - n + 1)
-        ok = seen[n - 1 : n - 1 + m] == seen[1 : 1 + m]  # no blank between the first and the last byte
-        x = np.full(m, n, np.uint32)
-        for k in range(n):
-            x *= np.uint32(0x01000193)
-            x ^= flat[k : k + m]
-        x *= np.uint32(0x9E3779B1)
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x85EBCA77)
-        yield (x[ok] >> np.uint32(32 - bits)).astype(np.int64), np.append(0, np.cumsum(ok))[np.minimum(at, m)]
+        m = max(0, len(lead) - n)
+        ok = seen[n - 1 : n - 1 + m] == seen[1 : 1 + m]  # no blank between the first and the last
+        x = kit.word_hashes(flat, lead[:m][ok], lead[n : n + m][ok])
+        yield (kit.salted(x, 20 + n) >> top).astype(np.int64), np.append(0, np.cumsum(ok))[np.minimum(first, m)]
 
 
 def bags(column: pa.Array, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
