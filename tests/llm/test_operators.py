@@ -205,6 +205,10 @@ def test_classifiers_score_by_definition():
     assert [len(s) for s in sets] == [len(set(x)) + len(set(zip(x, x[1:], strict=False))) + len(set(zip(x, x[2:], strict=False))) for x in words]
 
     bags = quality.bags(column)
+    for text, (_, counts) in zip(column.to_pylist(), bags, strict=True):  # as many features as words, pairs, repeats and character n-grams
+        w = WORD.findall(text or "")
+        grams = sum(max(0, len(x) + 2 - n + 1) for x in w for n in quality.NGRAMS)
+        assert counts.sum() == len(w) + max(0, len(w) - 1) + sum(w[k] == w[k - g] for g in (1, 2) for k in range(g, len(w))) + grams
     assert max(n.max(initial=0) for _, n in bags) > 0xFFFF  # no count is clipped
     assert all(np.array_equal(a, b) and np.array_equal(n, m) for (a, n), (b, m) in zip(bags, (quality.unpacked(quality.packed(*x)) for x in bags), strict=True))
     model = quality.learn(bags[:5], np.array([0.0, 1, 0, 1, 0]), 0.4)
