@@ -124,7 +124,7 @@ def all_spans(docs: DataFrame, id_col: str, text_col: str, only: kit.Filter | No
                 yield pa.RecordBatch.from_arrays([pa.array(value), batch.column(0).take(pa.array(text + a)), batch.column(2).take(pa.array(text + a)), pa.array(at.astype(np.int32))], ["h", "id", "row", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).mapInArrow(run, f"h long, id {kind}, row long, at int")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.hash(text_col).alias("row")).mapInArrow(run, f"h long, id {kind}, row int, at int")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,11 +171,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, text, n_sentences, n_removed, words_removed) of every row; `text` is what is left.
 
     Marks go to the row that they are of, by id and text, so rows of one id (or of
-    none) that differ don't meet each other's.
+    none) that differ don't meet each other's, but for equal hashes, which does no harm:
+    a mark of another text that fits a row's own span is a mark of its own, too.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     marks = repeats(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "h")).alias("_marks"))
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).join(marks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.hash(text_col).alias("row")).join(marks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
