@@ -6,8 +6,8 @@ at most `REACH` or `NEXT` code points before it, on its line or the next ones) i
 a candidate, unless it lies inside a base span.  Its novelty is the number of
 bytes by which it lengthens the zstandard form of the code around it, with a
 compressor primed by a dictionary trained on identifiers of Python's library and
-of a bounded sample of the corpus at hand: names from there or from nearby are
-cheap, random strings are not.  A candidate whose novelty reaches `THRESHOLD` of
+on those that stand in most texts of the corpus at hand, all of which are counted: names
+from there or from nearby are cheap, random strings are not.  A candidate whose novelty reaches `THRESHOLD` of
 its length (`ONE_CASE` if it is of lower-case letters alone, of which a random one
 is cheaper) is reported as a span of kind "novel".  Base spans are always reported; their novelty is given too.
 
@@ -23,6 +23,7 @@ import hashlib
 import importlib
 import keyword
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from types import ModuleType
 
@@ -48,9 +49,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 ONE_CASE_RUN = re.compile(r"[a-z]+")
 REACH, NEXT, AROUND, THRESHOLD, ONE_CASE, PRIMER = 64, 2, 256, 0.8, 0.71, 120
 
-#: An identifier, and how many documents, code points and identifiers of one, and bytes of identifiers in all prime the dictionary.
+#: An identifier, how many of a corpus the dictionary is trained on, how many a task holds before it passes their counts on, and the dictionary's bytes.
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_./-]{3,63}", re.ASCII)
-SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_NAMES, SAMPLE_BYTES, DICTIONARY = 2_000, 1 << 16, 256, 1 << 20, 16_384
+NAMES, HELD, DICTIONARY = 1 << 14, 1 << 16, 16_384
 #: Modules whose names stand for code in general.
 LIBRARY = "builtins os re json logging argparse socket ssl http.client urllib.parse email.message datetime collections threading subprocess asyncio typing unittest sqlite3 csv configparser pathlib shutil hashlib hmac inspect functools itertools concurrent.futures decimal statistics tarfile zipfile smtplib imaplib ftplib locale".split()
 
@@ -99,28 +100,32 @@ def identifiers(text: str) -> list[str]:
     return list(found)
 
 
-def corpus_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
-    """The dictionary of a corpus: that of the library with identifiers of about SAMPLE_DOCS documents, picked by a hash of their text.
-
-    It only primes the compressor: every text is scanned in full.  A sampled text
-    gives SAMPLE_NAMES names of its first SAMPLE_TEXT code points at most, and all of them
-    SAMPLE_BYTES together, by their hashes; that is what the driver gets.
-    """
-    texts = docs.select(F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    share = max(1, texts.count() // SAMPLE_DOCS)
-    picked = texts.where(F.pmod(F.xxhash64("_text"), F.lit(share)) == 0).select(F.left("_text", F.lit(SAMPLE_TEXT)).alias("_text"), F.xxhash64("_text").alias("_h")).dropDuplicates(["_h"])
+def name_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(name, n): in how many texts each identifier stands, of all texts in full.  A task adds up its own texts before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter[str]()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["name", "n"])
         for batch in batches:
-            names = [" ".join(identifiers(t.as_py())[:SAMPLE_NAMES]) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], ["names", "h"])
-
-    found, size = [], 0
-    for row in picked.mapInArrow(run, "names string, h long").orderBy("h").limit(2 * SAMPLE_DOCS).toLocalIterator():
-        size += len(row.names)
-        if size > SAMPLE_BYTES:
-            break
-        found += row.names.split()
+            for t in batch.column(0):
+                found.update(identifiers(t.as_py()))
+                if len(found) >= HELD:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    texts = docs.select(F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    return texts.mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def corpus_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    """The dictionary of a corpus: that of the library with the corpus's most frequent identifiers, counted in all texts.
+
+    It only primes the compressor: every text is scanned in full.  The driver gets
+    NAMES names at most (ties by a hash, then the name), many times what a dictionary holds.
+    """
+    first = name_counts(docs, text_col).orderBy(F.desc("n"), F.xxhash64("name"), "name").limit(NAMES)
+    found = first.select("name").toArrow().column(0).to_pylist()
     made = trained_dictionary(found)
     del found
     kit.release()

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from stateforge.llm import secrets
 from stateforge.operators import reports
 from stateforge.plans import queries, record_queries  # noqa: F401
 
@@ -26,3 +27,11 @@ def test_a_length_at_the_bound_passes_in_any_order(spark):
     df = spark.createDataFrame([(k, 1.0, 1.0, 1.0, float(v), 0.0, 0.0) for k, v in lengths.items()], row)
     got = {r.run: r.length_gate for r in reports.comparison_gates(df, min_length_ratio=exact).collect()}
     assert got == {"below": True, "at": True, "above": True, "short": False}
+
+
+def test_names_are_counted_in_all_texts(spark):
+    """In more texts than any sample, at any place of them, however many names each has; what follows a sensitive word doesn't count."""
+    filler = " ".join(f"filler_{i}" for i in range(300))
+    rows = [(i, f"{filler} {'x ' * 40_000 if i < 3 else ''}late_name_{i % 2} token of_{i}") for i in range(4_500)]
+    got = dict(map(tuple, secrets.name_counts(spark.createDataFrame([*rows, (None, None), (7, "")], "doc_id long, text string").repartition(3)).collect()))
+    assert got == {**{f"filler_{i}": 4_500 for i in range(300)}, "late_name_0": 2_250, "late_name_1": 2_250}
