@@ -97,7 +97,7 @@ def eval_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(q._VFS + " SELECT rollout_id, t AS tokens FROM z WHERE selected")
 def selected_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = q._lines(spark, sf_dir)
-    chosen = selection.select(q._decisions(spark, sf_dir, "vfs"), strategy="vfs", ratio=0.5)
+    chosen = selection.select(q._decisions(spark, sf_dir, "vfs"), strategy="vfs", ratio=0.5, columns=["rollout_id"])
     return selection.selected_rollouts(rows, chosen).select("rollout_id", F.least(F.col("prompt_tokens") + F.col("response_tokens"), F.lit(48)).cast("long").alias("tokens"))
 
 

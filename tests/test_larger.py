@@ -1,11 +1,15 @@
 """What showed on larger tables only, on a few rows."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 from stateforge.llm import secrets
-from stateforge.operators import reports
+from stateforge.operators import prepare, reports, selection
 from stateforge.plans import queries, record_queries  # noqa: F401
 
 
@@ -35,3 +39,23 @@ def test_names_are_counted_in_all_texts(spark):
     rows = [(i, f"{filler} {'x ' * 40_000 if i < 3 else ''}late_name_{i % 2} token of_{i}") for i in range(4_500)]
     got = dict(map(tuple, secrets.name_counts(spark.createDataFrame([*rows, (None, None), (7, "")], "doc_id long, text string").repartition(3)).collect()))
     assert got == {**{f"filler_{i}": 4_500 for i in range(300)}, "late_name_0": 2_250, "late_name_1": 2_250}
+
+
+@pytest.mark.parametrize("strategy", ["vfs", "verifier_filtered", "random_budget"])
+def test_carried_columns_are_the_joined_ones(spark, strategy, monkeypatch):
+    """Rows go along with the order, and few bytes of each: no tie-break is stored, nothing is lost, and many strata change nothing."""
+    rng = random.Random(6)
+    rows = [(f"s{i}-{k}", f"s{i}", k, rng.randint(1, 9), rng.randint(1, 60), rng.choice(["success", "success", "failed"]), rng.choice(selection.STATUSES), rng.choice("ab")) for i in range(60) for k in range(3)]
+    rollouts = spark.createDataFrame(rows, "rollout_id string, sample_id string, candidate_index int, prompt_tokens int, response_tokens int, status string, verifier_status string, extracted_answer string")
+    prompts = spark.createDataFrame([(f"s{i}", rng.choice("uv"), rng.choice("xy")) for i in range(60)], "sample_id string, subject string, difficulty string")
+    given = dict(strategy=strategy, seed=1, max_new_tokens=50, teacher_max_length=40)
+    stored = selection.decisions(rollouts, None, prompts, **given)
+    joined = selection.decisions(rollouts.drop("verifier_status", "extracted_answer"), rollouts.select("rollout_id", F.col("verifier_status").alias("status"), "extracted_answer"), prompts, **given)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, joined.collect()))
+    assert "stable_tiebreak" not in spark.read.parquet(*stored.inputFiles()).columns
+    names = ["rollout_id", "group_type", "estimated_teacher_tokens", "truncated"]
+    made = [*names, "selected", "selection_rank", "selection_reason", "budget_before", "budget_after"]
+    want = sorted(map(str, selection.select(stored, strategy=strategy, ratio=0.4).select(made).collect()))
+    assert len(want) == 180
+    monkeypatch.setattr(prepare, "STRATA_HELD", 0)
+    assert sorted(map(str, selection.select(stored, strategy=strategy, ratio=0.4, columns=names).select(made).collect())) == want
