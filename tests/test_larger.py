@@ -59,3 +59,18 @@ def test_carried_columns_are_the_joined_ones(spark, strategy, monkeypatch):
     assert len(want) == 180
     monkeypatch.setattr(prepare, "STRATA_HELD", 0)
     assert sorted(map(str, selection.select(stored, strategy=strategy, ratio=0.4, columns=names).select(made).collect())) == want
+
+
+def test_the_last_of_a_key_meets_a_join_without_another_shuffle(spark):
+    """Rows with the order of their file don't move, and the last of each key is dealt by the key that a join asks for."""
+    rows = spark.range(40).select((F.col("id") % 7).cast("string").alias("k"), F.col("id").alias("v"), F.col("id").alias("o"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = prepare.last_of_key(rows.repartition(3), "k", "o")
+        plan = last.join(last.select("k", F.col("v").alias("w")), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ENSURE_REQUIREMENTS") <= 2
+    assert last.columns == ["k", "v"] and sorted(map(tuple, last.collect())) == [(str((33 + i) % 7), 33 + i) for i in sorted(range(7), key=lambda i: (33 + i) % 7)]
