@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stateforge.llm import secrets
 from stateforge.operators import prepare, reports, selection
 from stateforge.plans import queries, record_queries  # noqa: F401
+from stateforge.sources import records
 
 
 def test_labels_mask_multiplies_floats(spark, tmp_path):
@@ -74,3 +75,13 @@ def test_the_last_of_a_key_meets_a_join_without_another_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("ENSURE_REQUIREMENTS") <= 2
     assert last.columns == ["k", "v"] and sorted(map(tuple, last.collect())) == [(str((33 + i) % 7), 33 + i) for i in sorted(range(7), key=lambda i: (33 + i) % 7)]
+
+
+def test_the_order_of_a_table_moves_no_rows(spark, tmp_path):
+    spark.range(1000).repartition(5).withColumn("x", F.rand(1)).write.parquet(f"{tmp_path}/t.parquet")
+    table = spark.read.parquet(f"{tmp_path}/t.parquet")
+    got = records.with_row(table, "n")
+    want = [r[0] for r in table.select("id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    assert [(r.id, r.n) for r in got.select("id", "n").orderBy("n").collect()] == [(x, n) for n, x in enumerate(want)]
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert got.columns == ["id", "x", "n"]
