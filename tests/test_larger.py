@@ -8,8 +8,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from stateforge.functions import arrays
 from stateforge.llm import secrets
-from stateforge.operators import prepare, reports, selection
+from stateforge.operators import prepare, reports, selection, training
 from stateforge.plans import queries, record_queries  # noqa: F401
 from stateforge.sources import records
 
@@ -85,3 +86,27 @@ def test_the_order_of_a_table_moves_no_rows(spark, tmp_path):
     assert [(r.id, r.n) for r in got.select("id", "n").orderBy("n").collect()] == [(x, n) for n, x in enumerate(want)]
     assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     assert got.columns == ["id", "x", "n"]
+
+
+def test_distillation_draws_one_stream_in_tasks(spark):
+    """The losses are those of a loop over the records in order with one generator, wherever ranges, records and stretches of the stream end."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(300):
+        n = int(rng.integers(0, 9))
+        ids = [[int(x) for x in rng.permutation(256)[:4]] for _ in range(n)]
+        rows.append((f"r{i:03d}", list(range(n)) if i % 50 else None, ids, [[-0.4, -2.9, -2.8, -2.7]] * n, [0.1] * n, [float(x) for x in rng.uniform(0.5, 1, n)], float(i % 3) / 2, "pass" if i % 4 else "fail"))
+    view = spark.createDataFrame(rows, "rollout_id string, response_token_ids array<int>, topk_token_ids array<array<int>>, topk_logprobs array<array<double>>, tail_mass array<double>, confidence_weights array<double>, verifier_weight double, verifier_status string").repartition(5)
+    one, losses, passed = np.random.default_rng(42), [], 0
+    for r in rows:
+        if r[1]:
+            losses.append(arrays.sparse_kl_numpy(one.normal(size=(len(r[1]), 256)), *map(np.asarray, r[2:6])) * r[6])
+            passed += r[7] == "pass"
+    for size in (1 << 24, 1 << 12, 37):
+        if size > 100:
+            got = training.mock_distillation(view, size=size)
+            assert got["initial_loss"] == pytest.approx(np.mean(losses), rel=1e-13) and (got["record_count"], got["validation_score"]) == (300, passed / 300)
+        draws = np.random.default_rng(42).normal(size=5_000)
+        for at, raw in training.stream_starts(spark, 42, 4_000, size):
+            if at < 4_900:
+                assert (training._generator(42, raw).normal(size=90) == draws[at : at + 90]).all()
+    assert training.mock_distillation(view.limit(0))["record_count"] == 0
