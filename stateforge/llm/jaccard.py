@@ -90,6 +90,11 @@ def prefix(tokens: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray
     return tokens[np.lexsort((tokens, rarity))[: n - -(-percent * n // 100) + SHARED]]
 
 
+def added(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Sums of 16-bit counters, which stop at 65,535 in whatever order they are added."""
+    return np.minimum(a.astype(np.uint32) + b, 0xFFFF).astype(np.uint16)
+
+
 def common(n, m, percent: int):
     """How many tokens two linked sets of n and m (columns) have in common at least."""
     return F.ceil((n + m) * percent / (100 + percent))
@@ -267,7 +272,7 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, with_node: bool = False) -> DataFrame:
     """(id, n_shingles, component_id[, node]) of every row; `node` names its set."""
-    with kit.small_batches(docs.sparkSession, SLICE):
+    with kit.small_batches(docs.sparkSession, SLICE), kit.hinted_broadcasts(docs.sparkSession):
         return _joined(docs, id_col, text_col, words, percent, with_node)
 
 
@@ -293,12 +298,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
                     add()
                     sets, n = [], 0
         add()
-        yield pa.RecordBatch.from_arrays([pa.array([kit.pack(counters)], pa.binary())], ["counters"])
+        yield pa.RecordBatch.from_arrays([pa.array([kit.pack(np.minimum(counters, 0xFFFF).astype(np.uint16))], pa.binary())], ["counters"])
         sets = []
         kit.release()
 
-    counters = kit.tree_sum(texts.select("text").mapInArrow(count, "counters binary"), "counters", "u4")
-    counted = spark.sparkContext.broadcast(np.zeros(1 << COUNTERS, np.uint16) if counters is None else np.minimum(counters, 0xFFFF).astype(np.uint16))
+    counters = kit.tree_sum(texts.select("text").mapInArrow(count, "counters binary"), "counters", "u2", combine=added)
+    counted = spark.sparkContext.broadcast(np.zeros(1 << COUNTERS, np.uint16) if counters is None else counters)
     del counters
     kit.release()
 

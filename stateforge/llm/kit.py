@@ -79,17 +79,25 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """While it lasts, rows go to Python and into the cache by so many: where rows are texts or sets, a default batch of them is large in every buffer it passes."""
-    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.inMemoryColumnarStorage.batchSize")
-    before = {name: spark.conf.get(name) for name in names}
-    for name in names:
-        spark.conf.set(name, rows)
+def _settings(spark: SparkSession, values: dict[str, object]):
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, rows go to Python and into the cache by so many: where rows are texts or sets, a default batch of them is large in every buffer it passes."""
+    return _settings(spark, dict.fromkeys(("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.inMemoryColumnarStorage.batchSize"), rows))
+
+
+def hinted_broadcasts(spark: SparkSession):
+    """While it lasts, only joins that are hinted so are broadcast: each broadcast is gathered and built on the driver, which in a job of many small joins adds up there."""
+    return _settings(spark, dict.fromkeys(("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), -1))
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -586,6 +586,34 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_no_round_for_settled_links(spark, monkeypatch):
+    """Links that lead to the least node already are written once; a round was added for nothing before."""
+    written, real = [], kit.written
+    monkeypatch.setattr(kit, "written", lambda df, name, compact=True: written.append(name) or real(df, name, compact))
+    assert {tuple(r) for r in graph.components(spark.createDataFrame([(2, 1), (3, 1), (1, 3), (5, 4)], "a long, b long")).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    assert written == ["links"]
+    assert {tuple(r) for r in graph.components(spark.createDataFrame([(3, 2), (2, 1)], "a long, b long")).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert written == ["links"] * 3
+
+
+def test_jaccard_gathers_few_tables_on_the_driver(docs, monkeypatch):
+    """Joins of small tables aren't broadcast through the driver unless they are hinted so, and settings are as before afterwards."""
+    spark, plans, real = docs.sparkSession, [], kit.written
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    monkeypatch.setattr(kit, "written", lambda df, name, compact=True: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name, compact))
+    jaccard.join(docs.limit(300))
+    assert [spark.conf.get(n, None) for n in names] == before
+    own = [p for p in plans if "InMemoryTableScan" not in p]  # hinted broadcasts stand in kept tables, or join them
+    assert len(own) > 5 and not any("BroadcastExchange" in p for p in own)
+
+
+def test_jaccard_counters_stop_at_the_same_value_in_any_order():
+    parts = [np.array(x, np.uint16) for x in ((65_000, 3, 65_535), (600, 4, 1), (40_000, 5, 65_535))]
+    for order in (parts, parts[::-1]):
+        assert jaccard.added(jaccard.added(*order[:2]), order[2]).tolist() == [65_535, 12, 65_535]
+
+
 def test_media(docs, none):
     got = {r.doc_id: r for r in media.stored(docs, with_files=True).collect()}
     assert media.stored(none).count() == 0
