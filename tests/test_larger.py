@@ -27,6 +27,21 @@ def test_labels_mask_multiplies_floats(spark, tmp_path):
     assert got == duck.execute(f"SELECT vec_id, input_ids, labels FROM ({queries.ORACLE['labels_mask']}) ORDER BY vec_id").fetchall()
 
 
+def test_weights_are_rounded_as_doubles(spark, tmp_path):
+    """Of the first vector 1,000,000,000 times a weight is half as a decimal, but not as a double; the others are odd ones."""
+    import duckdb
+
+    vectors = [[0.2729881703853607, 0.23744842410087585], None, [], [None, 0.1], [float("nan"), 0.1], [float("inf"), 0.1], [9.0, 9.0]]
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = [(r.vec_id, r.weights) for r in queries.QUERIES["conf_weights"](spark, str(tmp_path)).orderBy("vec_id").collect()]
+    assert repr(got) == repr(duck.execute(f"SELECT vec_id, weights FROM ({queries.ORACLE['conf_weights']}) ORDER BY vec_id").fetchall())
+    doubles = [1.0593715535, -1.0593715535, 5e-10, 0.49999999999999994e-9, 1e300, float("inf"), float("nan"), None]
+    wide = spark.createDataFrame([(x,) for x in doubles], "x double").select(arrays.rounded("x", 9)).collect()
+    assert repr([r[0] for r in wide]) == repr([duck.execute("SELECT round(?::DOUBLE, 9)", [x]).fetchone()[0] for x in doubles])
+
+
 def test_a_length_at_the_bound_passes_in_any_order(spark):
     exact, row = 0.84, "run string, base_accuracy double, accuracy double, base_tokens double, tokens double, base_unknown double, unknown double"
     lengths = {"below": np.nextafter(exact, 0), "at": exact, "above": np.nextafter(exact, 1), "short": exact - 1e-9}
