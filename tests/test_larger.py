@@ -42,6 +42,19 @@ def test_weights_are_rounded_as_doubles(spark, tmp_path):
     assert repr([r[0] for r in wide]) == repr([duck.execute("SELECT round(?::DOUBLE, 9)", [x]).fetchone()[0] for x in doubles])
 
 
+def test_empty_texts_and_odd_spaces_count_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["a b", None, "", "  ", "a\x0bb", "a\x1cb\x1dc", "a\u00a0b", "a\u3000b\u2028c", "\u00a0", "a\tb\nc\rd\x0ce", "a\x85b"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "lang": ["en"] * len(texts)}), tmp_path / "documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert tuple(queries.QUERIES["mock_sft"](spark, str(tmp_path)).head()) == duck.execute(queries.ORACLE["mock_sft"]).fetchone()
+    # the operator keeps Python's words, and takes the answer where there is no solution
+    prompts = spark.createDataFrame([(x, "an answer") for x in texts], "reference_solution string, reference_answer string")
+    assert training.mock_sft(prompts).head()["token_count"] == sum(len((x or "an answer").split()) for x in texts)
+
+
 def test_a_length_at_the_bound_passes_in_any_order(spark):
     exact, row = 0.84, "run string, base_accuracy double, accuracy double, base_tokens double, tokens double, base_unknown double, unknown double"
     lengths = {"below": np.nextafter(exact, 0), "at": exact, "above": np.nextafter(exact, 1), "short": exact - 1e-9}
