@@ -12,7 +12,8 @@ from stateforge.functions import arrays
 from stateforge.llm import secrets
 from stateforge.operators import prepare, reports, selection, training
 from stateforge.plans import queries, record_queries  # noqa: F401
-from stateforge.sources import records
+from stateforge.plans.stages import Stages
+from stateforge.sources import records, shared
 
 
 def test_labels_mask_multiplies_floats(spark, tmp_path):
@@ -138,3 +139,29 @@ def test_distillation_draws_one_stream_in_tasks(spark):
             if at < 4_900:
                 assert (training._generator(42, raw).normal(size=90) == draws[at : at + 90]).all()
     assert training.mock_distillation(view.limit(0))["record_count"] == 0
+
+
+def test_prompts_are_prepared_without_storing_or_shuffling_texts_before_they_are_written(spark, tmp_path, monkeypatch):
+    """First occurrences by an order, their seeded order and splits are those of whole rows, and only numbers wait in tables."""
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 40), f"Problem {rng.randint(0, 60)}", "1") for i in range(200)]
+    raw = spark.createDataFrame(rows, "row long, at long, problem string, answer string").repartition(5)
+    made = prepare.prompts(raw, keep=("row", "at"))
+    key = prepare.dedup_key(F.col("problem"))
+    want = prepare.permuted(prepare.first_occurrences(made.withColumn("_k", key), F.col("_k"), ["at", "row"]).drop("_k"), ["row"], 3)
+    n = want.count()
+    for held, sizes in ((1 << 20, (4, 5, n)), (0, (0, 7, 11)), (1 << 20, (0, 0, n)), (0, (n, 1, 2)), (1 << 20, (2, 0, 5))):
+        monkeypatch.setattr(prepare, "NUMBERS_HELD", held)
+        split = dict(zip(("smoke", "validation", "train"), sizes, strict=True))
+        first, numbers = prepare.only_first(made, key, ["at"])
+        if held:
+            assert first._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 0
+        got = prepare.permuted_with_split(first, prepare.permuted(numbers, ["row"], 3), ["row"], 3, split)
+        assert [(r.row, r.at, r.split) for r in got.collect()] == [(r.row, r.at, r.split) for r in prepare.with_split(want, split).orderBy("position").collect()]
+    monkeypatch.undo()
+    stored, table = [], shared.table
+    monkeypatch.setattr(shared, "table", lambda df: stored.append(df.columns) or table(df))
+    s = Stages(spark, {"project": {"seed": 3}}, str(tmp_path))
+    raw.drop("row").write.parquet(f"{tmp_path}/raw.parquet")
+    assert s.prepare(f"{tmp_path}/raw.parquet", smoke=2, validation=3, train=n - 5, order=("at",))["record_count"] == n
+    assert stored and not any("problem" in columns for columns in stored)
